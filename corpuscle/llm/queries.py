@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, topk
+from . import neardup, packing, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_topk": topk.op2_topk,
+    "op9_sharding": sharding.op9_sharding,
+    "op10_neardup": neardup.op10_neardup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_topk": topk.OP2_SQL}
