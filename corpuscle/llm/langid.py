@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, take, words_of
 
@@ -261,7 +262,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFr
     are all if there is no model. Repeated rows each give a row; an empty table gives none.
     """
     sent = spark.sparkContext.broadcast(model)  # pieces x languages: fixed by the vocabulary
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema[:-1]) + ", lang_pred string, score double"
+    schema = T.StructType([*docs.schema[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(lambda it: _predict(it, sent), schema)
 
 

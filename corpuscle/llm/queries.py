@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licences, linededup, neardup, packing, sharding, topk
+from . import decontaminate, langid, licences, linededup, neardup, packing, pii, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": decontaminate.op4_decontamination,
     "op6_language": langid.op6_language,
     "op7_licences": licences.op7_licences,
+    "op8_pii": pii.op8_pii,
     "op9_sharding": sharding.op9_sharding,
     "op10_neardup": neardup.op10_neardup,
 }
