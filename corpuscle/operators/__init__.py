@@ -1 +1 @@
-"""operators"""
+"""Operators over particle tables."""

@@ -1 +1 @@
-"""plans"""
+"""Compositions: steppers, runners and the registered queries."""
