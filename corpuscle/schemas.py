@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "array<double>": T.ArrayType(T.DoubleType())}
+
+
 def _schema(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in text.split(", "))])
 
 
 CELL = "ax double, bx double, by double, cx double, cy double, cz double"
