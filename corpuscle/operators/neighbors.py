@@ -48,8 +48,8 @@ def _candidates(placed: DataFrame, strategy: str) -> DataFrame:
         binned = placed.withColumns({f"c{a}": c for a, c in zip("abc", at, strict=True)} | {f"n{a}": k for a, k in zip("abc", n, strict=True)})
         left = _side(binned, "l", "ca", "cb", "cc", "na", "nb", "nc")
         for a in "abc":  # distinct cells only: an axis of one or two cells is its own neighbor
-            around = F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d, a=a: F.pmod(F.col(f"l_c{a}") + d, F.col(f"l_n{a}"))))
-            left = left.withColumn(f"k{a}", F.explode(around))
+            around = F.array(*(F.pmod(F.col(f"l_c{a}") + d, F.col(f"l_n{a}")) for d in (-1, 0, 1)))
+            left = left.withColumn(f"k{a}", F.explode(F.array_distinct(around)))
         right = _side(binned, "r", *dims, "ca", "cb", "cc").withColumnsRenamed({f"r_c{a}": f"k{a}" for a in "abc"})
         out = left.join(right, ["system_id", "ka", "kb", "kc"])
     return out.withColumnsRenamed({f"r_{d}": d for d in dims})

@@ -38,7 +38,7 @@ def block_transform(series: DataFrame, value: str, min_blocks: int = 4) -> DataF
     """Standard error for n/2, n/4, ... blocks (blocks of 2, 4, ... rows), down to ``min_blocks`` blocks."""
     base = numbered(series).select("system_id", "_nth", "_rows", value)
     levels = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.log2(F.greatest(F.lit(2), F.col("_rows")) / min_blocks) + 1e-9).cast("int")))
-    wide = base.where(F.col("_rows") >= 2 * min_blocks).withColumn("level", F.explode(levels)).withColumn("size", F.shiftleft(F.lit(1), F.col("level")))
+    wide = base.where(F.col("_rows") >= 2 * min_blocks).withColumn("level", F.explode(levels)).withColumn("size", F.pow(F.lit(2.0), F.col("level")).cast("long"))
     blocks = wide.withColumn("n_blocks", F.floor(F.col("_rows") / F.col("size"))).withColumn("block", F.floor(F.col("_nth") / F.col("size"))).where("block < n_blocks and n_blocks >= " + str(min_blocks))
     means = blocks.groupBy("system_id", "size", "n_blocks", "block").agg(F.avg(value).alias("m"))
     return means.groupBy("system_id", "size", "n_blocks").agg(F.avg("m").alias("mean"), (F.stddev_samp("m") / F.sqrt(F.count("*").cast("double"))).alias("sem"))
