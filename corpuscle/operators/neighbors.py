@@ -124,7 +124,7 @@ def changes(particles: DataFrame, moved: DataFrame, systems: DataFrame, strategy
         hit = table.join(ids, "particle_id", "left_semi")
         owners = hit.select("system_id").distinct()
         edges = neighbor_list(table.join(owners, "system_id", "left_semi"), systems, strategy, images=False)
-        ends = [edges.join(ids.withColumnRenamed("particle_id", k), k, "left_semi") for k in ("i", "j")]
+        ends = [edges.join(ids.withColumnRenamed("particle_id", k), k, "left_semi").select(*EDGE) for k in ("i", "j")]
         return reduce(DataFrame.union, ends).distinct()
 
     before, after = around(particles), around(new)

@@ -288,12 +288,12 @@ def nl_images(spark: SparkSession, d: str) -> DataFrame:
 CHANGES_SQL = EDGES_SQL.replace(f"WITH {P}", "WITH " + P.replace("embedding[1]::DOUBLE AS x", "embedding[1]::DOUBLE + CASE WHEN vec_id % 50 = 0 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS x"))
 
 
-@query(f"SELECT system_id, count(*) AS n FROM (SELECT system_id, i, j, sx, sy, sz, r2 FROM ({CHANGES_SQL}) EXCEPT SELECT system_id, i, j, sx, sy, sz, r2 FROM ({EDGES_SQL})) GROUP BY 1")
+@query(f"SELECT system_id, i, j, sx, sy, sz, r2 FROM ({CHANGES_SQL}) EXCEPT SELECT system_id, i, j, sx, sy, sz, r2 FROM ({EDGES_SQL})")
 def nl_changes(spark: SparkSession, d: str) -> DataFrame:
     p = particles(spark, d)
     moved = p.where("particle_id % 50 = 0").withColumn("x", F.col("x") + 0.1)
     added, _ = neighbors.changes(p, moved, systems(spark, d))
-    return added.groupBy("system_id").agg(F.count("*").alias("n"))
+    return _edges(added)
 
 
 # --- energies -----------------------------------------------------------------------------------------------------
