@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,3 +75,51 @@ def union_find(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         scratch.drop(hooks, tree, left)
         tree, left = new_tree, new_left
     raise RuntimeError(f"components have not settled in {rounds} rounds")
+
+
+def link_buckets(buckets: DataFrame, linked: Callable[[DataFrame, str], DataFrame], scratch: Scratch, components: Callable[[DataFrame, Scratch], DataFrame] = star_components, rounds: int = 6) -> DataFrame:
+    """Components of the links inside buckets (band, node), without all pairs of a bucket: node, root.
+
+    ``linked`` verifies pairs (a, b), a < b, and returns those that are linked. In a round, each bucket that holds
+    several components pairs one of its members with the others of different components: as many pairs as members.
+    Another member is taken each round. When the pairs of different components in all buckets are no more than a few
+    for each member, or after ``rounds``, all of those are verified. So any two nodes of a bucket are compared, unless
+    they are already in one component.
+    """
+    members = buckets.count()
+    links = tried = roots = None
+    for n in range(rounds + 1):
+        if roots is None:
+            named = buckets.withColumn("root", F.col("node"))
+        else:
+            named = buckets.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        named = scratch.write(named, "named")
+        sizes = named.groupBy("band", "root").agg(F.count("*").alias("n"))
+        open_ = sizes.groupBy("band").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square")).where("roots > 1")
+        open_ = scratch.write(open_.select("band", ((F.col("n") * F.col("n") - F.col("square")) / 2).cast("long").alias("pairs")), "open")
+        left = open_.agg(F.sum("pairs")).first()[0] or 0
+        if not left:
+            break
+        live = named.join(open_.select("band"), "band", "left_semi")
+        buckets = live.select("band", "node")  # a bucket of one component stays one
+        last = n == rounds or (n > 0 and left <= 2 * members)
+        if last:
+            other = live.select("band", F.col("node").alias("y"), F.col("root").alias("other"))
+            pairs = live.join(other, "band").where("node < y and root <> other").select(F.col("node").alias("a"), F.col("y").alias("b"))
+        else:
+            centre = F.min_by(F.struct("node", "root"), F.col("node") if n == 0 else F.xxhash64("node", F.lit(n)))
+            centres = live.groupBy("band").agg(centre.alias("c"))
+            pairs = live.join(centres, "band").where("root <> c.root").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
+        pairs = pairs.distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = scratch.write(pairs, "pairs")
+        found = scratch.write(linked(pairs, f"round{n}"), "links")
+        links = found if links is None else links.union(found)
+        tried = pairs if tried is None else tried.union(pairs)
+        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+        if last:
+            break
+    if roots is None:
+        roots = buckets.select("node", F.col("node").alias("root")).limit(0)
+    return roots

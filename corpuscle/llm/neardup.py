@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, distinct_sets, hash_words, mix, shingles, slices, take, words_of
-from .components import star_components
+from .components import link_buckets
 
 #: Words of a shingle; link at WIDTH-word Jaccard of PER_CENT / 100 or more.
 WIDTH, PER_CENT = 5, 85
-#: Hash minima: BANDS bands of ROWS. A pair at 0.85 shares no band with probability (1 - 0.85 ** 6) ** 32 = 3e-7.
-BANDS, ROWS = 32, 6
+#: Hash minima: BANDS bands of ROWS. A pair at 0.85 shares no band with probability (1 - 0.85 ** 8) ** 48 = 2e-7.
+BANDS, ROWS = 48, 8
 #: Standard errors below the threshold at which the signature already rules a pair out (a false one in 1e9).
 SIGMAS = 6.0
 
@@ -68,7 +68,7 @@ def _sketch(it: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch
             if len(full):
                 starts = offsets[full]
                 sums[:, 0], sums[:, 1] = np.add.reduceat(mix(hashes), starts), np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), starts)
-            low = (sig & np.uint32(0xFFFF)).astype(np.uint16)
+            low = (sig[:, ::2] & np.uint32(0xFF)).astype(np.uint8)  # a byte of every other minimum is enough to rule out
 
             def column(rows: np.ndarray) -> list[bytes | None]:
                 out: list[bytes | None] = [None] * n
@@ -88,7 +88,7 @@ def _band_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _agree(it: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for b in it:
         if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("sa", "sb"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sa", "sb"))
             keep = (x == y).mean(1) >= least
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
@@ -114,11 +114,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, pe
     shingles, or its whole sequence if it is shorter. Two documents are linked if 100 * intersection >= ``per_cent`` *
     union; component_id is the smallest doc_id reachable over links.
 
-    1. One pass over the texts: 192 universal hash minima, 32 band keys, a 128-bit hash of the set.
+    1. One pass over the texts: 384 universal hash minima, 48 band keys, a 128-bit hash of the set.
     2. Equal sets form a class; only its smallest doc_id goes on, so a group of copies costs one row.
-    3. In each bucket of a band, the smallest member is paired with each other member, so a bucket costs its size.
-       What the exact check then leaves unlinked to that smallest member is paired with all of the bucket, so that no
-       pair that shares a band and can be linked is left out.
+    3. In each bucket of a band, one member is paired with each other one, so a bucket costs its size; after each round,
+       only members of different components are paired. What is left then is compared in full, so that no two
+       documents of different components that share a band remain uncompared.
     4. Signatures rule out pairs that are clearly below the threshold; the rest are compared by their full sets.
     5. Components by alternating large-star and small-star.
 
@@ -133,28 +133,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, pe
     of_reps = sketch.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = scratch.write(of_reps.select("doc_id", "bands", "signature"), "reps")
     bands = reps.select("doc_id", "bands").mapInArrow(_band_rows, "doc_id long, band long")
-    least = bands.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    buckets = scratch.write(bands.join(least, "band").where("doc_id <> a").select("band", "a", F.col("doc_id").alias("b")), "buckets")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    buckets = scratch.write(bands.join(shared, "band", "left_semi").select("band", F.col("doc_id").alias("node")), "buckets")
 
+    # texts of all candidates, once; how many there are grows with the corpus, so they are not broadcast
+    wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
+    needed = scratch.write(texts.hint("merge").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    scratch.free_shuffles()
     threshold = per_cent / 100
-    bound = threshold - SIGMAS * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5
+    agree = threshold + (1 - threshold) / 256  # different minima share a byte now and then
+    bound = agree - SIGMAS * (agree * (1 - agree) / (BANDS * ROWS // 2)) ** 0.5
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         sig = reps.select("doc_id", "signature")
         near = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(lambda it: _agree(it, bound), "a long, b long")
         near = scratch.write(near, f"{name}-near")
-        wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-        needed = scratch.write(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}-texts")
         with_texts = near.join(needed.toDF("a", "ta"), "a").join(needed.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-        out = scratch.write(with_texts.mapInArrow(lambda it: _verify(it, width, per_cent), "a long, b long, linked boolean"), f"{name}-links")
-        scratch.drop(needed, near)
-        return out.where("linked").select("a", "b")
-
-    first = linked(buckets.select("a", "b").distinct(), "first")
-    loose = buckets.join(first, ["a", "b"], "left_anti").select("band", F.col("b").alias("x"))
-    others = loose.join(buckets.select("band", F.col("b").alias("y")), "band").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = linked(others, "second")
-    roots = star_components(first.union(second).select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+        return with_texts.mapInArrow(lambda it: _verify(it, width, per_cent), "a long, b long, linked boolean").where("linked").select("a", "b")
+
+    roots = link_buckets(buckets, linked, scratch)
     named = classes.join(roots, classes.rep == roots.node, "left").select("set_hash", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "set_hash").join(named, ["set_hash", "n_shingles"], "left")
     component = F.coalesce("component_id", "doc_id")
