@@ -61,9 +61,12 @@ class Scratch:
     def free_shuffles(self) -> None:
         """Lets Spark's cleaner remove the shuffle files of plans that are not referenced any more."""
         import gc
+        import time
 
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first lets go of the plans, the second finds that nothing refers to their shuffles
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
 
     def _delete(self, path: str) -> None:
         with contextlib.suppress(Exception):  # at exit the JVM may be gone; the folder then stays for the next clean-up
