@@ -20,7 +20,7 @@ CAPACITY = 4096
 #: Rounds of multiplicative weights at most.
 ROUNDS = 80
 #: Distinct chunks of text that a worker remembers the ids of.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 
 
 class Tokens:
@@ -148,13 +148,13 @@ def configuration_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int = CA
 
     The covering program "as few configurations as cover every length as often as it occurs" by multiplicative
     weights: each length has a weight; a knapsack dynamic program prices the configuration of most weight; it is used
-    until the first of its lengths is halfway to its demand or is covered; the weights of what it covers fall. The
+    until the first of its lengths is halfway to its demand; the weights of what it covers fall. The
     price of a configuration counts only lengths that are still short. Lengths are taken as they are, but only the
     ``groups`` with most demand at a time are priced, so a round costs capacity * groups steps however many there are.
     A configuration that leaves more than ``slack`` tokens free is not used: what it would cover is left to rounding.
     """
     need = dict(zip(lengths.tolist(), counts.astype(float).tolist(), strict=True))
-    weight = {n: n * (1 + 0.1 * n / capacity) for n in need}  # short ones are worth less for each token: they fill gaps later
+    weight = {n: n * (1 + n / capacity) for n in need}  # short ones are worth less for each token: they fill gaps later
     used: list[tuple[list[int], float]] = []
     for _ in range(rounds):
         short = sorted((n for n, c in need.items() if c >= 1), key=lambda n: -need[n] * n)[:groups]
@@ -168,12 +168,13 @@ def configuration_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int = CA
             inside = [anchor, *_filled(took, capacity - anchor)]
             times = {n: inside.count(n) for n in set(inside)}
             step = min(need[n] / k for n, k in times.items())
+            step = step if step < 2 else max(1.0, 0.5 * step)
             if step < 1 or sum(inside) < capacity - slack:
                 continue
             used.append((inside, step))
             for n, k in times.items():
                 need[n] -= step * k
-                weight[n] *= 1 - 0.02 * min(1.0, step * k / max(need[n] + step * k, 1.0))
+                weight[n] *= 1 - 0.05 * min(1.0, step * k / max(need[n] + step * k, 1.0))
     return used
 
 
