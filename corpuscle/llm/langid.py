@@ -14,11 +14,13 @@ from pyspark.sql import types as T
 from .common import slices, take, words_of
 
 #: Labelled documents of a language that the model is fitted on, about; chosen by a hash of their text.
-SAMPLE = 1_000
+SAMPLE = 400
 #: Rounds of expectation and maximisation.
 ROUNDS = 3
 #: Longest piece in characters; longest word that is summed in one table (longer ones are summed by themselves).
 PIECE, WORD = 10, 40
+#: Words that the fit holds at one time.
+PART = 16_384
 #: Weight that every piece has in every language before it is seen, and the chance of a character that no piece has.
 PRIOR, UNKNOWN = 0.05, 1e-7
 #: Each character's chance is scaled by this, so that the products of a word stay far from underflow.
@@ -141,6 +143,31 @@ def _backward(offsets: np.ndarray, windows: list[np.ndarray], chance: np.ndarray
     return beta
 
 
+def _expected(pieces: Pieces, words: pa.Array, lang: np.ndarray, count: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Expected counts of the pieces in words of known languages, over all segmentations."""
+    langs = chance.shape[1]
+    offsets, points = _codes(words)
+    cut = [(a, min(a + WORD, b)) for s, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for a in range(s, b, WORD)]
+    owner = np.repeat(np.arange(len(words)), [-(-n // WORD) for n in np.diff(offsets).tolist()])
+    offsets = np.array([0, *(b for _, b in cut)], np.int64)
+    lang, count = lang[owner], count[owner].astype(float)
+    sizes = np.diff(offsets)
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    windows = _windows(points, pieces)
+    for k, w in enumerate(windows):  # a piece must end within its word
+        w[np.arange(len(points)) + k + 1 > offsets[1:][word]] = -1
+    alpha, beta = _forward(offsets, windows, chance), _backward(offsets, windows, chance)
+    whole = alpha[offsets[1:] + np.arange(len(sizes))]
+    place, own = np.arange(len(points)) + word, lang[word]  # alpha's row before each character
+    got = np.zeros(pieces.n * langs)
+    for k, w in enumerate(windows):
+        at = np.nonzero(w >= 0)[0]
+        g = own[at]
+        share = alpha[place[at], g] * chance[w[at], g] * SCALE ** (k + 1) * beta[place[at] + k + 1, g] / whole[word[at], g] * count[word[at]]
+        got += np.bincount(w[at].astype(np.int64) * langs + g, share, len(got))
+    return got.reshape(-1, langs)
+
+
 class Model:
     """Languages and the chance of each piece in each."""
 
@@ -151,28 +178,11 @@ class Model:
     def fit(cls, langs: list[str], pieces: Pieces, words: pa.Array, lang: np.ndarray, count: np.ndarray, rounds: int = ROUNDS) -> Model:
         """Expected counts of pieces over all segmentations of the words, again and again; words over WORD go in parts."""
         chance = np.full((pieces.n, len(langs)), 1.0 / max(1, pieces.n))
-        offsets, points = _codes(words)
-        cut = [(a, min(a + WORD, b)) for s, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for a in range(s, b, WORD)]
-        owner = np.repeat(np.arange(len(words)), [-(-n // WORD) for n in np.diff(offsets).tolist()])
-        offsets = np.array([0, *(b for _, b in cut)], np.int64)
-        lang, count = lang[owner], count[owner].astype(float)
-        windows = _windows(points, pieces)
-        for k, w in enumerate(windows):  # a piece must end within its word
-            place = np.arange(len(points))
-            w[place + k + 1 > np.repeat(offsets[1:], np.diff(offsets))] = -1
-        base = offsets[:-1] + np.arange(len(offsets) - 1)
-        word = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        place = np.arange(len(points)) + word  # alpha's row before each character
         for _ in range(rounds):
-            alpha, beta = _forward(offsets, windows, chance), _backward(offsets, windows, chance)
-            whole = alpha[base + np.diff(offsets)]
             got = np.full((pieces.n, len(langs)), PRIOR)
-            own = lang[word]
-            for k, w in enumerate(windows):
-                at = np.nonzero(w >= 0)[0]
-                g = own[at]
-                share = alpha[place[at], g] * chance[w[at], g] * SCALE ** (k + 1) * beta[place[at] + k + 1, g] / whole[word[at], g] * count[word[at]]
-                got += np.bincount(w[at].astype(np.int64) * len(langs) + g, share, pieces.n * len(langs)).reshape(got.shape)
+            for at in range(0, len(words), PART):  # a bounded number of words at a time
+                part = slice(at, at + PART)
+                got += _expected(pieces, words[part], lang[part], count[part], chance)
             chance = got / got.sum(0)
         return cls(langs, pieces, chance)
 
