@@ -74,9 +74,11 @@ class Items:
         self.seeds = np.unique(self.gram)
 
     def rarest(self, documents: dict[int, int]) -> None:
-        """Keeps, of each item's seeds, the half that fewest documents hold (eight at least), however many that are."""
+        """Keeps, of each item's seeds that occur, the half that fewest documents hold (eight at least), however many that is."""
         held = np.array([documents.get(int(s), 0) for s in self.seeds.view(np.int64)], np.int64)
         rank = held[np.searchsorted(self.seeds, self.gram)]
+        occurs = rank > 0
+        self.gram, self.item, self.place, rank = self.gram[occurs], self.item[occurs], self.place[occurs], rank[occurs]
         order = np.lexsort((self.gram, rank, self.item))
         it = self.item[order]
         nth = np.arange(len(it)) - np.searchsorted(it, it)
@@ -122,8 +124,9 @@ def _find(it: Iterator[pa.RecordBatch], sent, threshold: float) -> Iterator[pa.R
     for whole in it:
         for batch in slices(whole):
             at, grams, place, offsets, words = _hits(batch, items.seeds)
+            if not len(grams):
+                continue
             ids = batch.column("doc_id").to_pylist()
-            rows: list[tuple] = []
             lo, hi = np.searchsorted(items.gram, grams), np.searchsorted(items.gram, grams, "right")
             many = hi - lo
             src = np.repeat(np.arange(len(grams)), many)
