@@ -405,7 +405,7 @@ def test_near_duplicates(spark, docs, odd):
 
 def test_components(spark):
     rng = np.random.default_rng(9)
-    edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(300 + i, 301 + i) for i in range(40)] + [(999, 999)]
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 80, (40, 2))] + [(300 + i, 301 + i) for i in range(8)] + [(999, 999)]
     nodes = {x for e in edges if e[0] != e[1] for x in e}
     expected = components(nodes, [e for e in edges if e[0] != e[1]])
     table = spark.createDataFrame(edges, "u long, v long")
