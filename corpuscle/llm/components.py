@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is either the centre of edges (v) or the end of a single one (u)."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def star_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
@@ -20,13 +21,12 @@ def star_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> Dat
 
     ``edges``: u, v (long), in any direction, repeats and loops allowed. Returns node, root for every node that has
     an edge to another. Each step is an aggregation (a minimum for each node, combined before the shuffle) and one
-    equi-join, which Spark splits where a node has very many edges. Rounds go on until the edges are the same after
-    both stars; there are O(log^2 n) of them.
+    equi-join, which Spark splits where a node has very many edges. Rounds go on until the edges are stars around the
+    smallest nodes, which neither step changes; there are O(log^2 n) of them.
     """
     now = scratch.write(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = _digest(now)
     for _ in range(rounds):
-        if not seen[0]:
+        if _are_stars(now):
             break
         # large-star: link the larger neighbours of each node to the smallest of its closed neighbourhood
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -37,11 +37,7 @@ def star_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> Dat
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
         new = scratch.write(small, "stars")
         scratch.drop(now)
-        digest = _digest(new)
-        now, same = new, digest == seen
-        seen = digest
-        if same:
-            break
+        now = new
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -83,26 +79,29 @@ def link_buckets(buckets: DataFrame, linked: Callable[[DataFrame, str], DataFram
     ``linked`` verifies pairs (a, b), a < b, and returns those that are linked. In a round, each bucket that holds
     several components pairs one of its members with the others of different components: as many pairs as members.
     Another member is taken each round. When the pairs of different components in all buckets are no more than a few
-    for each member, or after ``rounds``, all of those are verified. So any two nodes of a bucket are compared, unless
-    they are already in one component.
+    for each member, when a round has found no link (more rounds would leave as many pairs), or after ``rounds``, all
+    of those are verified. So any two nodes of a bucket are compared, unless they are already in one component.
     """
     members = buckets.count()
-    links = tried = roots = None
+    links = tried = roots = named = open_ = None
+    left = 0
+    idle = False
     for n in range(rounds + 1):
         if roots is None:
             named = buckets.withColumn("root", F.col("node"))
-        else:
+        elif not idle:
             named = buckets.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        named = scratch.write(named, "named")
-        sizes = named.groupBy("band", "root").agg(F.count("*").alias("n"))
-        open_ = sizes.groupBy("band").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square")).where("roots > 1")
-        open_ = scratch.write(open_.select("band", ((F.col("n") * F.col("n") - F.col("square")) / 2).cast("long").alias("pairs")), "open")
-        left = open_.agg(F.sum("pairs")).first()[0] or 0
+            named = scratch.write(named, "named")
+        if not idle:
+            sizes = named.groupBy("band", "root").agg(F.count("*").alias("n"))
+            open_ = sizes.groupBy("band").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square")).where("roots > 1")
+            open_ = scratch.write(open_.select("band", ((F.col("n") * F.col("n") - F.col("square")) / 2).cast("long").alias("pairs")), "open")
+            left = open_.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             break
         live = named.join(open_.select("band"), "band", "left_semi")
         buckets = live.select("band", "node")  # a bucket of one component stays one
-        last = n == rounds or (n > 0 and left <= 2 * members)
+        last = n == rounds or idle or (n > 0 and left <= 2 * members)
         if last:
             other = live.select("band", F.col("node").alias("y"), F.col("root").alias("other"))
             pairs = live.join(other, "band").where("node < y and root <> other").select(F.col("node").alias("a"), F.col("y").alias("b"))
@@ -115,9 +114,11 @@ def link_buckets(buckets: DataFrame, linked: Callable[[DataFrame, str], DataFram
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs, "pairs")
         found = scratch.write(linked(pairs, f"round{n}"), "links")
-        links = found if links is None else links.union(found)
         tried = pairs if tried is None else tried.union(pairs)
-        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+        idle = n > 0 and found.isEmpty()
+        if not idle:
+            links = found if links is None else links.union(found)
+            roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
         if last:
             break
     if roots is None:
