@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join documents to test items, Smith-Waterman scores the copies."""
+"""Benchmark decontamination: n-gram seeds join documents to test items, Smith-Waterman scores the copies."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import distinct_sets, hash_words, shingles, slices, take, words_of
+from .common import hash_words, shingles, slices, take, words_of
 
 #: Words of a seed, and of the shortest item that can be told from chance.
 SEED, SHORTEST = 3, 5
@@ -73,21 +73,6 @@ class Items:
         self.gram, self.item, self.place = grams[order], item[order], place[order]
         self.seeds = np.unique(self.gram)
 
-    def rarest(self, documents: dict[int, int]) -> None:
-        """Keeps, of each item's seeds that occur, the half that fewest documents hold (eight at least), however many that is."""
-        held = np.array([documents.get(int(s), 0) for s in self.seeds.view(np.int64)], np.int64)
-        rank = held[np.searchsorted(self.seeds, self.gram)]
-        occurs = rank > 0
-        self.gram, self.item, self.place, rank = self.gram[occurs], self.item[occurs], self.place[occurs], rank[occurs]
-        order = np.lexsort((self.gram, rank, self.item))
-        it = self.item[order]
-        nth = np.arange(len(it)) - np.searchsorted(it, it)
-        size = np.bincount(self.item, minlength=len(self.words))
-        keep = np.zeros(len(it), bool)
-        keep[order] = nth < np.maximum(8, -(-size[it] // 2))
-        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
-        self.seeds = np.unique(self.gram)
-
 
 def _within(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     if not len(sorted_):
@@ -96,18 +81,6 @@ def _within(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[at] == values
 
 
-def _count(it: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    seeds = sent.value.seeds
-    total = np.zeros(len(seeds), np.int64)
-    for whole in it:
-        for batch in slices(whole):
-            _, grams = distinct_sets(*_hits(batch, seeds)[:2])
-            if len(grams):
-                total += np.bincount(np.searchsorted(seeds, grams), minlength=len(seeds))
-    found = np.nonzero(total)[0]
-    yield pa.RecordBatch.from_arrays([pa.array(seeds[found].view(np.int64)), pa.array(total[found])], ["seed", "n"])
-
-
 def _hits(batch: pa.RecordBatch, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Seeds in each text: offsets, seeds, places; and the words of the texts."""
     offsets, words = plain_words(batch.column("text"))
@@ -121,6 +94,7 @@ def _hits(batch: pa.RecordBatch, seeds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _find(it: Iterator[pa.RecordBatch], sent, threshold: float) -> Iterator[pa.RecordBatch]:
     items: Items = sent.value
+    size = np.array([len(w) for w in items.words], np.int64)
     for whole in it:
         for batch in slices(whole):
             at, grams, place, offsets, words = _hits(batch, items.seeds)
@@ -135,19 +109,23 @@ def _find(it: Iterator[pa.RecordBatch], sent, threshold: float) -> Iterator[pa.R
             item, diagonal, gram = items.item[k], place[src] - items.place[k], grams[src]
             order = np.lexsort((diagonal, item, doc))
             doc, item, diagonal, gram = doc[order], item[order], diagonal[order], gram[order]
-            size = np.array([len(w) for w in items.words], np.int64)
             new = np.ones(len(doc), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > size[item[1:]])
             starts = np.nonzero(new)[0]
             ends = np.append(starts[1:], len(doc))
+            if len(starts):  # groups of two distinct seeds or more
+                several = np.minimum.reduceat(gram, starts) != np.maximum.reduceat(gram, starts)
+                starts, ends = starts[several], ends[several]
             best: dict[tuple[int, int], tuple] = {}
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                if b - a < HITS or len(np.unique(gram[a:b])) < HITS:
+                if HITS > 2 and len(np.unique(gram[a:b])) < HITS:
                     continue
                 d, i, n = int(doc[a]), int(item[a]), int(size[item[a]])
                 first = max(0, int(diagonal[a]) - n // 2)
                 last = int(diagonal[b - 1]) + n + n // 2
                 passage = words[offsets[d] + first : min(offsets[d] + last, offsets[d + 1])]
+                if MATCH * int(np.isin(items.words[i], passage).sum()) / (MATCH * n) < threshold:  # each match is a word of the item that the passage has
+                    continue
                 score, begin, length = align(items.words[i], passage)
                 share = score / (MATCH * n)
                 if share >= threshold and share > best.get((d, i), (0.0,))[0]:
@@ -164,10 +142,10 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, thr
 
     Returns doc_id, item_id, score (share of a perfect alignment, 0 to 1), first_word, n_words (the aligned part, in
     words that are not marks alone). Items go to the executors in blocks of at most ``block``, each searched in a pass
-    of its own, so what a task holds doesn't grow with the benchmark; the documents are never shuffled. For each
-    block a first pass counts the documents that hold each 3-word seed; an item is then sought by the rarest half of
-    its own seeds - a rank, not a count, so an item copied into most documents is still found. Where two seeds lie
-    within an item's length of one diagonal, the words around them are aligned with the item, without case and marks.
+    of its own, so what a task holds doesn't grow with the benchmark; the documents are never shuffled. An item is sought
+    by all of its 3-word seeds, however many documents hold them. Where two seeds lie within an item's length of one
+    diagonal, and the words around them have enough of the item's words for the threshold, they are aligned with the
+    item, without case and marks.
 
     A null or empty text holds nothing; items that are null or under five words can't be told from chance and find
     nothing. Equal items each give rows; repeated documents too. A document with several copies of an item gives the
@@ -181,9 +159,6 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, thr
         rows = dealt.where(F.col("part") == p).select("item_id", "text").collect()  # a block's items at most
         items = Items([r.item_id for r in rows], [r.text for r in rows])
         sent = spark.sparkContext.broadcast(items)
-        counted = docs.select("doc_id", "text").mapInArrow(lambda it, s=sent: _count(it, s), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        items.rarest({r.seed: r.n for r in counted.collect()})  # a block's seeds at most
-        sent = spark.sparkContext.broadcast(items)
         found = docs.select("doc_id", "text").mapInArrow(lambda it, s=sent: _find(it, s, threshold), "doc_id long, item_id long, score double, first_word long, n_words long")
         out = found if out is None else out.union(found)
     return out

@@ -184,6 +184,15 @@ def test_decontamination_finds_edited_copies_and_leaves_others(spark, docs):
     assert decontaminate.contaminated(spark, table, bench.limit(0)).count() == 0 and decontaminate.contaminated(spark, docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_an_edited_copy_beside_an_exact_one(spark):
+    words_ = [f"w{k}" for k in range(20)]
+    edited = [f"other{k}" if k in (5, 11, 17) else w for k, w in enumerate(words_)]
+    bench = spark.createDataFrame([(1, " ".join(words_))], "item_id long, text string")
+    table = spark.createDataFrame([(1, "before " * 30 + " ".join(words_) + " after" * 30), (2, "before " * 30 + " ".join(edited) + " after" * 30), (3, "before after " * 30)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.contaminated(spark, table, bench).collect()}
+    assert got == {1: 1.0, 2: 31 / 40}
+
+
 def test_alignment_against_full_table():
     rng = np.random.default_rng(4)
     for _ in range(30):
