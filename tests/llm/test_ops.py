@@ -156,6 +156,22 @@ def test_line_dedup_repeats_and_empty(spark, docs):
     assert linededup.duplicate_lines(spark, docs.limit(0)).count() == 0
 
 
+def test_short_lines_that_are_near_duplicates_share_a_band(spark):
+    rng = np.random.default_rng(3)
+    pairs = [("1. introduction", "2. introduction")]
+    while len(pairs) < 300:
+        a = "".join(rng.choice(list("abcdefgh "), rng.integers(4, 28))).strip()
+        k = rng.integers(0, len(a) + 1)
+        b = (a[:k] + "z" * rng.integers(0, 2) + a[k + rng.integers(0, 2) :]).strip()
+        x, y = ({t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in (a, b))
+        if "  " not in a + b and a != b and len(x & y) >= 0.8 * len(x | y):
+            pairs.append((a, b))
+    table = spark.createDataFrame(pairs, "a string, b string")
+    assert table.where(~F.arrays_overlap(linededup.band_keys("a"), linededup.band_keys("b"))).count() == 0
+    two = spark.createDataFrame([(1, "1. introduction\nother"), (2, "2. introduction\nmore")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in linededup.duplicate_lines(spark, two).collect()) == [(1, "1. introduction\nother"), (2, "more")]
+
+
 # --- 4 decontamination --------------------------------------------------------------------------------------------
 
 
