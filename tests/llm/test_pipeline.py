@@ -40,5 +40,13 @@ def test_stages(spark, tmp_path):
         docs = new
 
 
+def test_near_duplicates_at_four_fifths(spark):
+    w = [f"w{k}" for k in range(124)]
+    edited = lambda *at: " ".join(f"other{k}" if k in at else x for k, x in enumerate(w))
+    rows = [(1, edited()), (2, edited(30, 60)), (3, edited(10, 50, 70, 100))]  # 110 of 130 shingles are common, 100 of 140, at most 90 of 150
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs, DATA).collect()) == [1, 3]
+
+
 def test_run(spark):
     assert pipeline.run(spark, DATA).count() > 0
