@@ -332,6 +332,25 @@ def test_licences(spark, docs, odd):
     assert {r.licence for r in licences.licences(edited).collect()} == {"Apache-2.0"}
 
 
+def test_licences_wrapped_beside_other_words_and_repeated(spark):
+    import textwrap
+
+    mit = "\n".join(textwrap.wrap("MIT License Copyright (c) 2024 Foo " + licences.NOTICES["MIT"][-1], 72))
+    apache = licences.NOTICES["Apache-2.0"][1]
+    texts = [
+        "import os\n" + mit + "\nand code",
+        "Copyright 2024 Foo. Licensed under the MIT License.",
+        "\n".join(f"# {x}" for x in ["file.py, a module of a package", *textwrap.wrap(apache, 40), "more words of other things"]),
+        "a text\nof the software that is licensed under the terms of other words",
+        "Released under the MIT License. " * 60,
+        "Permission is hereby granted to nobody, and this work is licensed under no licence.",
+    ]
+    got = licences.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.licence) for r in got} == {(0, "MIT"), (1, "MIT"), (2, "Apache-2.0"), (4, "MIT")}
+    assert {(r.doc_id, r.line) for r in got if r.doc_id in (1, 2)} == {(1, 0), (2, 1)}
+    assert [r.score for r in got if r.doc_id == 1] == [1.0]
+
+
 # --- 8 personal data ----------------------------------------------------------------------------------------------
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
