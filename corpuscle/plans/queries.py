@@ -195,6 +195,13 @@ def subselect_pairs(spark: SparkSession, d: str) -> DataFrame:
     return relational.subselect(s, table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation")), "nation").select("s_suppkey", "c_custkey")
 
 
+@query(ORACLE_SQL["subselect_pairs"].replace(" WHERE s_suppkey <= 10", ""))
+def subselect_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All suppliers, where ``subselect_pairs`` has ten."""
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"))
+    return relational.subselect(s, table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation")), "nation").select("s_suppkey", "c_custkey")
+
+
 @query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS nth FROM orders) WHERE nth >= 10 AND nth < 5000 AND (nth - 10) % 7 = 0")
 def slice_step(spark: SparkSession, d: str) -> DataFrame:
     return relational.slice_rows(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 10, 5000, 7)
@@ -285,6 +292,13 @@ def nl_images(spark: SparkSession, d: str) -> DataFrame:
     return _edges(neighbors.neighbor_list(particles(spark, d).where("particle_id < 60"), s, "dense"))
 
 
+@query(ORACLE_SQL["nl_images"].replace(" WHERE a.particle_id < 60 AND b.particle_id < 60", ""))
+def nl_images_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All particles, where ``nl_images`` has 60."""
+    s = systems(spark, d).withColumns({"ax": F.lit(0.5), "by": F.lit(0.5), "cz": F.lit(0.5), "cutoff": F.lit(0.4)})
+    return _edges(neighbors.neighbor_list(particles(spark, d), s, "dense"))
+
+
 CHANGES_SQL = EDGES_SQL.replace(f"WITH {P}", "WITH " + P.replace("embedding[1]::DOUBLE AS x", "embedding[1]::DOUBLE + CASE WHEN vec_id % 50 = 0 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS x"))
 
 
