@@ -111,10 +111,11 @@ def with_vectors(edges: DataFrame, particles: DataFrame, systems: DataFrame) ->
     return made.withColumn("r2", dot(vec("d"), vec("d")))
 
 
-def changes(particles: DataFrame, moved: DataFrame, systems: DataFrame, strategy: str = "dense") -> tuple[DataFrame, DataFrame]:
+def changes(particles: DataFrame, moved: DataFrame, systems: DataFrame, strategy: str = "dense", images: bool = True) -> tuple[DataFrame, DataFrame]:
     """Edges that appear and edges that vanish when the rows of ``moved`` replace those of ``particles``.
 
-    Only pairs with a changed particle are searched: changed against all, then both directions.
+    Only pairs with a changed particle are searched: changed against all, then both directions. ``images`` is that of
+    the list which is brought up to date.
     """
     ids = moved.select("particle_id")
     still = particles.join(ids, "particle_id", "left_anti")
@@ -123,7 +124,7 @@ def changes(particles: DataFrame, moved: DataFrame, systems: DataFrame, strategy
     def around(table: DataFrame) -> DataFrame:
         hit = table.join(ids, "particle_id", "left_semi")
         owners = hit.select("system_id").distinct()
-        edges = neighbor_list(table.join(owners, "system_id", "left_semi"), systems, strategy, images=False)
+        edges = neighbor_list(table.join(owners, "system_id", "left_semi"), systems, strategy, images)
         ends = [edges.join(ids.withColumnRenamed("particle_id", k), k, "left_semi").select(*EDGE) for k in ("i", "j")]
         return reduce(DataFrame.union, ends).distinct()
 

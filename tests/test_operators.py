@@ -177,6 +177,16 @@ def test_changes_equal_full_lists(spark):
     assert at(added) == new - old and at(gone) == old - new and before != after
 
 
+def test_changes_of_a_small_cell_have_further_images(spark):
+    rng = np.random.default_rng(8)
+    p, s = atoms(spark, rng.random((12, 3))), cube(spark, 1.0, 0.8)
+    moved = p.where("particle_id % 5 = 0").withColumn("x", F.col("x") + 0.13)
+    at = lambda e: {(r.i, r.j, r.sx, r.sy, r.sz, round(r.r2, 9)) for r in e.collect()}
+    added, gone = map(at, neighbors.changes(p, moved, s))
+    old, new = (at(neighbors.neighbor_list(t, s, "dense")) for t in (p, relational.update(p, "particle_id", moved)))
+    assert gone <= old and added <= new and (old - gone) | added == new and any(i == 0 and abs(x) + abs(y) + abs(z) > 1 for i, _, x, y, z, _ in added)
+
+
 def test_ewald_does_not_depend_on_alpha(spark):
     rng = np.random.default_rng(11)
     p = atoms(spark, rng.random((8, 3)) * 4).withColumn("charge", F.when(F.col("particle_id") % 2 == 0, 1.0).otherwise(-1.0))
