@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -73,54 +73,79 @@ def union_find(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
-def link_buckets(buckets: DataFrame, linked: Callable[[DataFrame, str], DataFrame], scratch: Scratch, components: Callable[[DataFrame, Scratch], DataFrame] = star_components, rounds: int = 6) -> DataFrame:
+def prefix_pairs(sets: DataFrame, roots: DataFrame | None, similarity: float, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b), a < b, of sets in different components that can reach a Jaccard coefficient of ``similarity``.
+
+    ``sets``: node, token, n (long; n: the size of the node's whole set, tokens without repeats); ``roots``: node, root.
+    An exact prefix-filter join. Tokens are ordered by how many of the sets hold them, rarest first. Two sets of m and
+    n >= m tokens at the coefficient t share t / (1 + t) * (m + n) of them at least, so t * n <= m, and one of the first
+    n - t * n + 1 tokens of both is common; at the first of those, each set has as many tokens left as they share. Tokens
+    of one set alone are counted, not joined, so what a set has for itself already rules out most of its pairs: what
+    costs is the rare tokens that sets which may be linked share, not how many sets share frequent ones.
+    """
+    least = F.lit(similarity)
+    held = sets.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    common = sets.join(held, "token").select("node", "token", "n", "held")
+    # a set must share more than t of its tokens with others at all
+    own = common.groupBy("node", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.ceil(least * F.col("n") - 1e-6))
+    able = common.join(own.select("node", (F.col("n") - F.col("shared")).alias("alone")), "node")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("held", "token")) - 1 + F.col("alone")
+    firsts = able.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-6))
+    firsts = firsts.select("token", "node", "n", (F.col("n") - F.col("place")).alias("rest"))
+    if roots is not None:
+        firsts = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    else:
+        firsts = firsts.withColumn("root", F.col("node"))
+    firsts = scratch.write(firsts.select("token", "node", "n", "rest", "root"), "prefixes")
+    x, y = firsts.alias("x"), firsts.alias("y")
+    enough = F.least("x.rest", "y.rest") >= F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & enough)
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def link_buckets(
+    buckets: DataFrame, linked: Callable[[DataFrame, str], DataFrame], sets: Callable[[DataFrame], DataFrame], similarity: float, scratch: Scratch,
+    components: Callable[[DataFrame, Scratch], DataFrame] = star_components, rounds: int = 3,
+) -> DataFrame:
     """Components of the links inside buckets (band, node), without all pairs of a bucket: node, root.
 
-    ``linked`` verifies pairs (a, b), a < b, and returns those that are linked. In a round, each bucket that holds
-    several components pairs one of its members with the others of different components: as many pairs as members.
-    Another member is taken each round. When the pairs of different components in all buckets are no more than a few
-    for each member, when a round has found no link (more rounds would leave as many pairs), or after ``rounds``, all
-    of those are verified. So any two nodes of a bucket are compared, unless they are already in one component.
+    ``linked`` verifies pairs (a, b), a < b, and returns those that are linked; ``sets`` gives node, token, n of a table
+    of nodes. In a round, each bucket that holds several components pairs one of its members with the others of
+    different components: as many pairs as members. Another member is taken each round, until a round finds no link or
+    ``rounds`` are over. The members of the buckets that still hold several components then go to
+    :func:`prefix_pairs`, which gives all of their pairs that can be linked. So any two members of a bucket are in one
+    component, or have been compared, or can't reach ``similarity``.
     """
-    members = buckets.count()
-    links = tried = roots = named = open_ = None
-    left = 0
-    idle = False
+    links = tried = roots = None
+    live = buckets
     for n in range(rounds + 1):
-        if roots is None:
-            named = buckets.withColumn("root", F.col("node"))
-        elif not idle:
-            named = buckets.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-            named = scratch.write(named, "named")
-        if not idle:
-            sizes = named.groupBy("band", "root").agg(F.count("*").alias("n"))
-            open_ = sizes.groupBy("band").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square")).where("roots > 1")
-            open_ = scratch.write(open_.select("band", ((F.col("n") * F.col("n") - F.col("square")) / 2).cast("long").alias("pairs")), "open")
-            left = open_.agg(F.sum("pairs")).first()[0] or 0
-        if not left:
-            break
-        live = named.join(open_.select("band"), "band", "left_semi")
-        buckets = live.select("band", "node")  # a bucket of one component stays one
-        last = n == rounds or idle or (n > 0 and left <= 2 * members)
+        if roots is not None:
+            live = live.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+            spread = live.groupBy("band").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("band")
+            live = scratch.write(live.join(spread, "band", "left_semi"), "open")  # a bucket of one component stays one
+            if live.isEmpty():
+                break
+        else:
+            live = buckets.withColumn("root", F.col("node"))
+        last = n == rounds or (n > 0 and idle)
         if last:
-            other = live.select("band", F.col("node").alias("y"), F.col("root").alias("other"))
-            pairs = live.join(other, "band").where("node < y and root <> other").select(F.col("node").alias("a"), F.col("y").alias("b"))
+            pairs = prefix_pairs(sets(live.select("node").distinct()), roots, similarity, scratch)
         else:
-            centre = F.min_by(F.struct("node", "root"), F.col("node") if n == 0 else F.xxhash64("node", F.lit(n)))
+            centre = F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(n)))
             centres = live.groupBy("band").agg(centre.alias("c"))
-            pairs = live.join(centres, "band").where("root <> c.root").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
-        pairs = pairs.distinct()
+            pairs = live.join(centres, "band").where("root <> c.root").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs, "pairs")
         found = scratch.write(linked(pairs, f"round{n}"), "links")
         tried = pairs if tried is None else tried.union(pairs)
-        idle = n > 0 and found.isEmpty()
+        idle = found.isEmpty()
         if not idle:
             links = found if links is None else links.union(found)
             roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
         if last:
             break
+        live = live.select("band", "node")
     if roots is None:
         roots = buckets.select("node", F.col("node").alias("root")).limit(0)
     return roots

@@ -19,7 +19,7 @@ BANDS, ROWS = 48, 8
 #: Standard errors below the threshold at which the signature already rules a pair out (a false one in 1e9).
 SIGMAS = 6.0
 
-SKETCH = "doc_id long, n_shingles long, set_hash binary, bands binary, signature binary"
+SKETCH = "doc_id long, copy long, node long, check long, n_shingles long, bands binary, signature binary"
 
 
 def _coefficients(seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -64,10 +64,11 @@ def _sketch(it: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch
             for k in range(BANDS):
                 for j in range(ROWS):
                     bands[:, k] = mix(bands[:, k] * np.uint64(0x9E3779B97F4A7C15) + sig[:, k * ROWS + j] + np.uint64(k + 1))
-            sums = np.zeros((len(full), 2), np.uint64)
+            sums = np.zeros((2, n), np.uint64)
             if len(full):
                 starts = offsets[full]
-                sums[:, 0], sums[:, 1] = np.add.reduceat(mix(hashes), starts), np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), starts)
+                for k, salt in enumerate((0, 0x5851F42D4C957F2D)):
+                    sums[k, full] = mix(np.add.reduceat(mix(hashes ^ np.uint64(salt)), starts))
             low = (sig[:, ::2] & np.uint32(0xFF)).astype(np.uint8)  # a byte of every other minimum is enough to rule out
 
             def column(rows: np.ndarray) -> list[bytes | None]:
@@ -76,13 +77,14 @@ def _sketch(it: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch
                     out[i] = r.tobytes()
                 return out
 
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), *(pa.array(column(x), pa.binary()) for x in (sums, bands, low))], ["doc_id", "n_shingles", "set_hash", "bands", "signature"])
+            arrays = [batch.column("doc_id"), batch.column("copy"), *(pa.array(x.view(np.int64)) for x in sums), pa.array(sizes), *(pa.array(column(x), pa.binary()) for x in (bands, low))]
+            yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in SKETCH.split(", ")])
 
 
 def _band_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         keys = np.frombuffer(b"".join(b.column("bands").to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), BANDS)), pa.array(keys)], ["doc_id", "band"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column("node").to_numpy(zero_copy_only=False), BANDS))], ["band", "node"])
 
 
 def _agree(it: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -107,55 +109,73 @@ def _verify(it: Iterator[pa.RecordBatch], width: int, per_cent: int) -> Iterator
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(linked)], ["a", "b", "linked"])
 
 
+def _tokens(it: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for whole in it:
+        for b in slices(whole):
+            offsets, hashes = sets_of(b.column("text"), width)
+            sizes = np.diff(offsets)
+            node = np.repeat(b.column("node").to_numpy(zero_copy_only=False), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(hashes.view(np.int64)), pa.array(np.repeat(sizes, sizes))], ["node", "token", "n"])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
-    """Groups of near-duplicate documents: doc_id, n_shingles, component_id, kept.
+    """Groups of near-duplicate documents: doc_id, n_shingles, component_id, kept; one row for each row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a document's set holds its distinct ``width``-word
     shingles, or its whole sequence if it is shorter. Two documents are linked if 100 * intersection >= ``per_cent`` *
     union; component_id is the smallest doc_id reachable over links.
 
     1. One pass over the texts: 384 universal hash minima, 48 band keys, a 128-bit hash of the set.
-    2. Equal sets form a class; only its smallest doc_id goes on, so a group of copies costs one row.
-    3. In each bucket of a band, one member is paired with each other one, so a bucket costs its size; after each round,
-       only members of different components are paired. What is left then is compared in full, so that no two
-       documents of different components that share a band remain uncompared.
+    2. Equal sets form a class; one of its texts goes on, so a group of copies costs one row.
+    3. In each bucket of a band, one member is paired with each other one, so a bucket costs its size; the members of
+       buckets that then still hold several components go to an exact prefix-filter join on their shingles. No two
+       documents of different components that share a band and may be linked remain uncompared.
     4. Signatures rule out pairs that are clearly below the threshold; the rest are compared by their full sets.
     5. Components by alternating large-star and small-star.
 
-    A null or empty text, or one of white space, has an empty set and is linked with nothing. Rows without doc_id are
-    left out; several rows with one doc_id are expected to hold one text (one of them is taken for the comparison).
-    An empty table gives no rows.
+    A null or empty text, or one of white space, has an empty set and is linked with nothing. A row without doc_id takes
+    part like any other; its component_id is the smallest doc_id of its component, null where there is none, and it is
+    kept only then. Rows with one doc_id and different texts each take part with their own text. Very long texts are
+    taken alone, whole. An empty table gives no rows. Other columns of ``docs`` are ignored.
     """
     scratch = Scratch(spark)
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    texts = take(docs, doc_id="doc_id", text="text").withColumn("copy", F.xxhash64("text"))
     sketch = scratch.write(texts.mapInArrow(lambda it: _sketch(it, width), SKETCH), "sketch")
-    classes = scratch.write(sketch.where("n_shingles > 0").groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    of_reps = sketch.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = scratch.write(of_reps.select("doc_id", "bands", "signature"), "reps")
-    bands = reps.select("doc_id", "bands").mapInArrow(_band_rows, "doc_id long, band long")
+    full = sketch.where("n_shingles > 0")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy"))
+    classes = scratch.write(full.groupBy("node", "check", "n_shingles").agg(rep.alias("rep")).select("node", "check", "n_shingles", "rep.doc_id", "rep.copy"), "classes")
+    ids = classes.select("node", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "copy")
+    own = full.select("node", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "copy", "bands", "signature")
+    reps = scratch.write(own.join(ids, ["node", "id", "none", "copy"], "left_semi").dropDuplicates(["node"]).select("node", "bands", "signature"), "reps")
+    bands = reps.select("node", "bands").mapInArrow(_band_rows, "band long, node long")
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    buckets = scratch.write(bands.join(shared, "band", "left_semi").select("band", F.col("doc_id").alias("node")), "buckets")
+    buckets = scratch.write(bands.join(shared, "band", "left_semi"), "buckets")
 
     # texts of all candidates, once; how many there are grows with the corpus, so they are not broadcast
-    wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
-    needed = scratch.write(texts.hint("merge").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    scratch.free_shuffles()
+    wanted = ids.join(buckets.select("node").distinct(), "node", "left_semi")
+    with_ids = texts.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "copy", "text")
+    needed = scratch.write(with_ids.hint("merge").join(wanted, ["id", "none", "copy"]).select("node", "text").dropDuplicates(["node"]), "texts")
     threshold = per_cent / 100
     agree = threshold + (1 - threshold) / 256  # different minima share a byte now and then
     bound = agree - SIGMAS * (agree * (1 - agree) / (BANDS * ROWS // 2)) ** 0.5
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        sig = reps.select("doc_id", "signature")
+        sig = reps.select("node", "signature")
         near = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(lambda it: _agree(it, bound), "a long, b long")
         near = scratch.write(near, f"{name}-near")
         with_texts = near.join(needed.toDF("a", "ta"), "a").join(needed.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         return with_texts.mapInArrow(lambda it: _verify(it, width, per_cent), "a long, b long, linked boolean").where("linked").select("a", "b")
 
-    roots = link_buckets(buckets, linked, scratch)
-    named = classes.join(roots, classes.rep == roots.node, "left").select("set_hash", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "set_hash").join(named, ["set_hash", "n_shingles"], "left")
+    def sets(nodes: DataFrame) -> DataFrame:
+        return needed.join(nodes, "node", "left_semi").mapInArrow(lambda it: _tokens(it, width), "node long, token long, n long")
+
+    roots = link_buckets(buckets, linked, sets, threshold, scratch)
+    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = rooted.join(least, "root").select("node", "check", "n_shingles", "component_id")
+    out = sketch.select("doc_id", "n_shingles", "node", "check").join(named, ["node", "check", "n_shingles"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
