@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as words at one time (a longer single text is taken alone).
 BATCH_BYTES = 4 << 20
+#: Spark's setting that removes a plan's shuffle files when the plan has run.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,10 +48,15 @@ class Scratch:
         atexit.register(self._delete, self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` as Parquet and returns it read again."""
+        """Writes ``df`` as Parquet and returns it read again; the shuffle files of this write are removed when it ends."""
         path = f"{self.root}/{self.n:03d}-{name}"
         self.n += 1
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._corpuscle_path = path
         return out
@@ -58,16 +65,6 @@ class Scratch:
         for df in tables:
             self._delete(df._corpuscle_path)
 
-    def free_shuffles(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of plans that are not referenced any more."""
-        import gc
-        import time
-
-        for _ in range(2):  # the first lets go of the plans, the second finds that nothing refers to their shuffles
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.5)
-
     def _delete(self, path: str) -> None:
         with contextlib.suppress(Exception):  # at exit the JVM may be gone; the folder then stays for the next clean-up
             jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext

@@ -79,9 +79,10 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame | None, similarity: float, sc
     ``sets``: node, token, n (long; n: the size of the node's whole set, tokens without repeats); ``roots``: node, root.
     An exact prefix-filter join. Tokens are ordered by how many of the sets hold them, rarest first. Two sets of m and
     n >= m tokens at the coefficient t share t / (1 + t) * (m + n) of them at least, so t * n <= m, and one of the first
-    n - t * n + 1 tokens of both is common; at the first of those, each set has as many tokens left as they share. Tokens
-    of one set alone are counted, not joined, so what a set has for itself already rules out most of its pairs: what
-    costs is the rare tokens that sets which may be linked share, not how many sets share frequent ones.
+    n - t * n + 1 tokens of both is common. What they share is at most those of their first tokens that are common, and
+    all later tokens of the set whose first tokens end earlier; pairs that can't reach the bound so are left out. Tokens
+    of one set alone are counted, not joined, so what a set has for itself rules it out first: what costs is the rare
+    tokens that sets which may be linked share, not how many sets share frequent ones.
     """
     least = F.lit(similarity)
     held = sets.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
@@ -90,50 +91,62 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame | None, similarity: float, sc
     own = common.groupBy("node", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.ceil(least * F.col("n") - 1e-6))
     able = common.join(own.select("node", (F.col("n") - F.col("shared")).alias("alone")), "node")
     place = F.row_number().over(Window.partitionBy("node").orderBy("held", "token")) - 1 + F.col("alone")
-    firsts = able.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-6))
-    firsts = firsts.select("token", "node", "n", (F.col("n") - F.col("place")).alias("rest"))
+    last = F.col("n") - F.ceil(least * F.col("n") - 1e-6)
+    ranked = able.withColumn("place", place).where(F.col("place") <= last)
+    ends = ranked.where(F.col("place") == last).select("node", F.struct("held", "token").alias("end"))
+    firsts = ranked.select("token", "node", "n").join(ends, "node")
     if roots is not None:
         firsts = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     else:
         firsts = firsts.withColumn("root", F.col("node"))
-    firsts = scratch.write(firsts.select("token", "node", "n", "rest", "root"), "prefixes")
+    firsts = scratch.write(firsts.select("token", "node", "n", "end", "root"), "prefixes")
     x, y = firsts.alias("x"), firsts.alias("y")
-    enough = F.least("x.rest", "y.rest") >= F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-6
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & enough)
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    sizes = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-6
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & sizes)
+    shorter = F.when(F.col("x.end") <= F.col("y.end"), F.col("x.n")).otherwise(F.col("y.n"))
+    later = F.ceil(least * shorter - 1e-6) - 1
+    needed = F.ceil(least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-6)
+    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), (needed - later).alias("least"))
+    return met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("least").alias("least")).where("c >= least").select("a", "b")
 
 
 def link_buckets(
     buckets: DataFrame, linked: Callable[[DataFrame, str], DataFrame], sets: Callable[[DataFrame], DataFrame], similarity: float, scratch: Scratch,
-    components: Callable[[DataFrame, Scratch], DataFrame] = star_components, rounds: int = 3,
+    components: Callable[[DataFrame, Scratch], DataFrame] = star_components, rounds: int = 3, few: int = 8,
 ) -> DataFrame:
-    """Components of the links inside buckets (band, node), without all pairs of a bucket: node, root.
+    """Components of the links inside buckets (band, node), without all pairs of a large bucket: node, root.
 
     ``linked`` verifies pairs (a, b), a < b, and returns those that are linked; ``sets`` gives node, token, n of a table
-    of nodes. In a round, each bucket that holds several components pairs one of its members with the others of
-    different components: as many pairs as members. Another member is taken each round, until a round finds no link or
-    ``rounds`` are over. The members of the buckets that still hold several components then go to
-    :func:`prefix_pairs`, which gives all of their pairs that can be linked. So any two members of a bucket are in one
-    component, or have been compared, or can't reach ``similarity``.
+    of nodes. A bucket of ``few`` members at most pairs them all, so at most (few - 1) / 2 pairs for each. A larger one
+    pairs one of its members with the others of different components: fewer pairs than members. Another member is taken
+    each round, until a round finds no link or ``rounds`` are over. The members of larger buckets that still hold several
+    components then go to :func:`prefix_pairs`, which gives all of their pairs that can be linked. So any two members of
+    a bucket are in one component, or have been compared, or can't reach ``similarity``; no pair is dropped for cost.
     """
+    sized = buckets.join(buckets.groupBy("band").agg(F.count("*").alias("n")), "band")
+    small = sized.where(F.col("n") <= few)
+    live = sized.where(F.col("n") > few).select("band", "node")
+    x, y = small.select("band", F.col("node").alias("a")), small.select("band", F.col("node").alias("b"))
+    inside = x.join(y, "band").where("a < b").select("a", "b")
     links = tried = roots = None
-    live = buckets
+    idle = False
     for n in range(rounds + 1):
         if roots is not None:
             live = live.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
             spread = live.groupBy("band").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("band")
             live = scratch.write(live.join(spread, "band", "left_semi"), "open")  # a bucket of one component stays one
-            if live.isEmpty():
-                break
         else:
-            live = buckets.withColumn("root", F.col("node"))
-        last = n == rounds or (n > 0 and idle)
+            live = scratch.write(live.withColumn("root", F.col("node")), "open")
+        if n and live.isEmpty():
+            break
+        last = n == rounds or idle
         if last:
             pairs = prefix_pairs(sets(live.select("node").distinct()), roots, similarity, scratch)
         else:
             centre = F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(n)))
             centres = live.groupBy("band").agg(centre.alias("c"))
-            pairs = live.join(centres, "band").where("root <> c.root").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+            pairs = live.join(centres, "band").where("root <> c.root").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
+            pairs = (pairs.union(inside) if n == 0 else pairs).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs, "pairs")
