@@ -150,12 +150,27 @@ def shingles(offsets: np.ndarray, hashes: np.ndarray, width: int) -> tuple[np.nd
     return out, mix(acc)
 
 
-def distinct_sets(offsets: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts the hashes of each text and drops repeats."""
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.lexsort((hashes, doc))
-    h, d = hashes[order], doc[order]
+def distinct_keys(offsets: np.ndarray, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct upper ``bits`` of the hashes of each set, sorted, below the number of the set: offsets, keys."""
+    sets = len(offsets) - 1
+    if sets >> 64 - bits:
+        raise ValueError(f"{sets} sets at one time are too many")
+    key = np.repeat(np.arange(sets, dtype=np.uint64), np.diff(offsets)) << np.uint64(bits) | hashes >> np.uint64(64 - bits)
+    key.sort()
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    first = np.searchsorted(key, np.arange(sets + 1, dtype=np.uint64) << np.uint64(bits)) if len(key) else np.zeros(sets + 1, np.int64)
+    return first, key
+
+
+def distinct_sets_by(sets: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts hashes by the number of their set (0 to n - 1) and drops repeats: offsets, hashes."""
+    order = np.lexsort((hashes, sets))
+    h, d = hashes[order], sets[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    kept = np.concatenate([[0], np.cumsum(np.bincount(d[new], minlength=len(offsets) - 1))]).astype(np.int64)
-    return kept, h[new]
+    return np.concatenate([[0], np.cumsum(np.bincount(d[new], minlength=n))]).astype(np.int64), h[new]
+
+
+def distinct_sets(offsets: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts the hashes of each set and drops repeats: offsets, hashes."""
+    return distinct_sets_by(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), hashes, len(offsets) - 1)

@@ -73,7 +73,7 @@ def union_find(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
-def prefix_pairs(sets: DataFrame, roots: DataFrame | None, similarity: float, scratch: Scratch) -> DataFrame:
+def prefix_pairs(sets: DataFrame, roots: DataFrame | None, similarity: float, scratch: Scratch, sketches: DataFrame | None = None) -> DataFrame:
     """All pairs (a, b), a < b, of sets in different components that can reach a Jaccard coefficient of ``similarity``.
 
     ``sets``: node, token, n (long; n: the size of the node's whole set, tokens without repeats); ``roots``: node, root.
@@ -83,56 +83,70 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame | None, similarity: float, sc
     all later tokens of the set whose first tokens end earlier; pairs that can't reach the bound so are left out. Tokens
     of one set alone are counted, not joined, so what a set has for itself rules it out first: what costs is the rare
     tokens that sets which may be linked share, not how many sets share frequent ones.
+
+    ``sketches`` (node, and words p0, p1, ... of parity sketches) adds the bitmap filter of exact similarity joins: sets
+    differ by at least as many tokens as their sketches by bits, so the join meets no pair whose sketches differ by more
+    than sets that share enough can.
     """
     least = F.lit(similarity)
     held = sets.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
     common = sets.join(held, "token").select("node", "token", "n", "held")
-    # a set must share more than t of its tokens with others at all
+    # what a set shares with all others is a bound on what it shares with one
     own = common.groupBy("node", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.ceil(least * F.col("n") - 1e-6))
-    able = common.join(own.select("node", (F.col("n") - F.col("shared")).alias("alone")), "node")
-    place = F.row_number().over(Window.partitionBy("node").orderBy("held", "token")) - 1 + F.col("alone")
+    able = common.join(own.select("node", "shared"), "node")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("held", "token")) - 1 + F.col("n") - F.col("shared")
     last = F.col("n") - F.ceil(least * F.col("n") - 1e-6)
     ranked = able.withColumn("place", place).where(F.col("place") <= last)
     ends = ranked.where(F.col("place") == last).select("node", F.struct("held", "token").alias("end"))
-    firsts = ranked.select("token", "node", "n").join(ends, "node")
+    firsts = ranked.select("token", "node", "n", "shared").join(ends, "node")
     if roots is not None:
         firsts = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     else:
         firsts = firsts.withColumn("root", F.col("node"))
-    firsts = scratch.write(firsts.select("token", "node", "n", "end", "root"), "prefixes")
+    words = [c for c in sketches.columns if c != "node"] if sketches is not None else []
+    if words:
+        firsts = firsts.join(sketches, "node")
+    firsts = scratch.write(firsts.select("token", "node", "n", "shared", "end", "root", *words), "prefixes")
     x, y = firsts.alias("x"), firsts.alias("y")
-    sizes = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-6
+    needed = F.ceil(least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-6)
+    sizes = (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-6) & (F.least("x.shared", "y.shared") >= needed)
+    if words:
+        apart = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
+        sizes = sizes & (apart <= F.col("x.n") + F.col("y.n") - 2 * needed)
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & sizes)
     shorter = F.when(F.col("x.end") <= F.col("y.end"), F.col("x.n")).otherwise(F.col("y.n"))
     later = F.ceil(least * shorter - 1e-6) - 1
-    needed = F.ceil(least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-6)
     met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), (needed - later).alias("least"))
     return met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("least").alias("least")).where("c >= least").select("a", "b")
 
 
 def link_buckets(
     buckets: DataFrame, linked: Callable[[DataFrame, str], DataFrame], sets: Callable[[DataFrame], DataFrame], similarity: float, scratch: Scratch,
-    components: Callable[[DataFrame, Scratch], DataFrame] = star_components, rounds: int = 3, few: int = 8,
+    components: Callable[[DataFrame, Scratch], DataFrame] = star_components, rounds: int = 3, few: int = 24, centres: int = 8,
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """Components of the links inside buckets (band, node), without all pairs of a large bucket: node, root.
 
     ``linked`` verifies pairs (a, b), a < b, and returns those that are linked; ``sets`` gives node, token, n of a table
-    of nodes. A bucket of ``few`` members at most pairs them all, so at most (few - 1) / 2 pairs for each. A larger one
-    pairs one of its members with the others of different components: fewer pairs than members. Another member is taken
-    each round, until a round finds no link or ``rounds`` are over. The members of larger buckets that still hold several
+    of nodes, ``sketches`` their parity sketches, if any. A bucket of ``few`` members at most pairs them all, so at most (few - 1) / 2 pairs for each. A larger one
+    pairs its most central member, the one that shares most buckets with most others, with the rest; then each round the
+    most central one of each of ``centres`` random parts with those of other components, until a round finds no link or
+    ``rounds`` are over. The members of larger buckets that still hold several
     components then go to :func:`prefix_pairs`, which gives all of their pairs that can be linked. So any two members of
     a bucket are in one component, or have been compared, or can't reach ``similarity``; no pair is dropped for cost.
     """
     sized = buckets.join(buckets.groupBy("band").agg(F.count("*").alias("n")), "band")
     small = sized.where(F.col("n") <= few)
-    live = sized.where(F.col("n") > few).select("band", "node")
+    large = sized.where(F.col("n") > few)
+    weights = large.groupBy("node").agg(F.sum("n").alias("weight"))
+    live = large.select("band", "node").join(weights, "node")
     x, y = small.select("band", F.col("node").alias("a")), small.select("band", F.col("node").alias("b"))
     inside = x.join(y, "band").where("a < b").select("a", "b")
     links = tried = roots = None
     idle = False
     for n in range(rounds + 1):
         if roots is not None:
-            live = live.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+            live = live.join(roots, "node", "left").select("band", "node", "weight", F.coalesce("root", "node").alias("root"))
             spread = live.groupBy("band").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("band")
             live = scratch.write(live.join(spread, "band", "left_semi"), "open")  # a bucket of one component stays one
         else:
@@ -141,11 +155,11 @@ def link_buckets(
             break
         last = n == rounds or idle
         if last:
-            pairs = prefix_pairs(sets(live.select("node").distinct()), roots, similarity, scratch)
+            pairs = prefix_pairs(sets(live.select("node").distinct()), roots, similarity, scratch, sketches)
         else:
-            centre = F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(n)))
-            centres = live.groupBy("band").agg(centre.alias("c"))
-            pairs = live.join(centres, "band").where("root <> c.root").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
+            slot = F.pmod(F.xxhash64("node", F.lit(n)), F.lit(centres if n else 1))
+            heads = live.groupBy("band", slot.alias("slot")).agg(F.max_by(F.struct("node", "root"), F.struct("weight", "node")).alias("c"))
+            pairs = live.join(heads, "band").where("root <> c.root").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
             pairs = (pairs.union(inside) if n == 0 else pairs).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -158,7 +172,7 @@ def link_buckets(
             roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
         if last:
             break
-        live = live.select("band", "node")
+        live = live.select("band", "node", "weight")
     if roots is None:
         roots = buckets.select("node", F.col("node").alias("root")).limit(0)
     return roots
