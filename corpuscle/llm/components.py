@@ -107,16 +107,20 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame | None, similarity: float, sc
     if words:
         firsts = firsts.join(sketches, "node")
     firsts = scratch.write(firsts.select("token", "node", "n", "shared", "end", "root", *words), "prefixes")
-    x, y = firsts.alias("x"), firsts.alias("y")
+    # of two components, one at least is not the one that has most of a token's sets: those are joined with all others
+    by_root = firsts.groupBy("token", "root").agg(F.count("*").alias("sets"))
+    most = by_root.groupBy("token").agg(F.max_by("root", F.struct("sets", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("token", "most")
+    firsts = firsts.join(most, "token")
+    x, y = firsts.where("root <> most").alias("x"), firsts.alias("y")
     needed = F.ceil(least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-6)
     sizes = (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-6) & (F.least("x.shared", "y.shared") >= needed)
     if words:
         apart = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
         sizes = sizes & (apart <= F.col("x.n") + F.col("y.n") - 2 * needed)
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & sizes)
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.node") < F.col("y.node")) | (F.col("y.root") == F.col("y.most"))) & sizes)
     shorter = F.when(F.col("x.end") <= F.col("y.end"), F.col("x.n")).otherwise(F.col("y.n"))
     later = F.ceil(least * shorter - 1e-6) - 1
-    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), (needed - later).alias("least"))
+    met = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), (needed - later).alias("least"))
     return met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("least").alias("least")).where("c >= least").select("a", "b")
 
 
