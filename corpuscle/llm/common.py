@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,21 @@ def take(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{there}`").alias(own) for own, there in columns.items()))
 
 
+def released(it: Iterator[pa.RecordBatch], forget: Callable[[], None] | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches; when they end, or the task does, ``forget`` is called and freed memory goes back to the system.
+
+    Workers serve one task after another, of different queries: what one needed must not stay beside what the next needs.
+    """
+    try:
+        yield from it
+    finally:
+        if forget:
+            forget()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(text: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), np.int64)
 

@@ -270,7 +270,6 @@ def lm_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def counted(kind: int, name: str) -> tuple[DataFrame, list[int]]:
         table = scratch.write(texts.mapInArrow(lambda it: _requests(it, owners, kind), MESSAGE).groupBy("owner").applyInArrow(_own_counts, MESSAGE), name)
-        scratch.free_shuffles()  # the answers are written; the questions are not needed any more
         stats = [_unpack(r.data)[0] for r in table.where(F.col("block") == STATS).collect()]
         return table.where(F.col("block") != STATS), (np.sum(stats, 0) if stats else np.zeros(DISCOUNTED + 3, int)).tolist()
 
@@ -279,7 +278,6 @@ def lm_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     model = Model(word_stats, pair_stats)
     of_block: Callable[[DataFrame, Callable, str], DataFrame] = lambda rows, f, schema: rows.groupBy("block").applyInArrow(lambda t: f(t, owners, model), schema)
     backoff = scratch.write(of_block(texts.union(words).union(pairs), _contexts, MESSAGE).groupBy("owner").applyInArrow(_own_backoff, MESSAGE), "backoff")
-    scratch.free_shuffles()
     return of_block(texts.union(words).union(pairs).union(backoff), _score, SCORES)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,16 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, take, words_of
+from .common import released, slices, take, words_of
 
-#: Labelled documents of a language that the model is fitted on, about; chosen by a hash of their text.
-SAMPLE = 400
+#: Bytes of labelled text of a language that the model is fitted on, about; documents are chosen by a hash of their text.
+SAMPLE = 1_200_000
 #: Rounds of expectation and maximisation.
 ROUNDS = 3
-#: Longest piece in characters; longest word that is summed in one table (longer ones are summed by themselves).
-PIECE, WORD = 10, 40
-#: Words that the fit holds at one time.
+#: Characters from which a word is summed by itself.
+WORD = 40
+#: Words that are summed at one time.
 PART = 16_384
+#: Bytes of text whose words are scored at one time; a longer text is taken alone.
+HELD = 2 << 20
 #: Weight that every piece has in every language before it is seen, and the chance of a character that no piece has.
 PRIOR, UNKNOWN = 0.05, 1e-7
 #: Each character's chance is scaled by this, so that the products of a word stay far from underflow.
@@ -30,12 +33,15 @@ _PRIME = np.uint64(0x100000001B3)
 
 
 def public_pieces(path: str) -> list[str]:
-    """Pieces of the public sentencepiece vocabulary that are text, a word's start as a space."""
+    """Pieces of the public sentencepiece vocabulary that are text, a word's start as a space.
+
+    Texts are scored in lower case, and so are all pieces; those that differ by case alone are one.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).replace("▁", " ").lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    return sorted(p for p in found if 0 < len(p) <= PIECE)
+    return sorted(p for p in found if p)
 
 
 class Pieces:
@@ -44,6 +50,7 @@ class Pieces:
     def __init__(self, pieces: list[str]) -> None:
         self.pieces = pieces
         self.n = len(pieces)
+        self.longest = max(map(len, pieces), default=0)
         h = np.array([self._one(p) for p in pieces], np.uint64)
         self.mask = np.uint64((1 << max(16, (self.n * 8).bit_length())) - 1)
         self.keys, self.ids = np.zeros(int(self.mask) + 1, np.uint64), np.full(int(self.mask) + 1, -1, np.int32)
@@ -90,13 +97,19 @@ def _codes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _windows(points: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
-    """For each length, the piece that starts at each place (-1: none); windows may run past a word's end."""
-    h, out = np.zeros(len(points), np.uint64), []
-    p = np.concatenate([points.astype(np.uint64) + np.uint64(1), np.zeros(PIECE, np.uint64)])
-    for k in range(PIECE):
-        h = h * _PRIME + p[k : k + len(points)]
-        out.append(pieces.find(h))
+def _windows(offsets: np.ndarray, points: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
+    """For each length, the piece that starts at each place and ends within its word (-1: none)."""
+    sizes = np.diff(offsets)
+    left = np.repeat(offsets[1:], sizes) - np.arange(len(points))
+    h, at, out = np.zeros(len(points), np.uint64), np.arange(len(points)), []
+    p = points.astype(np.uint64) + np.uint64(1)
+    for k in range(min(pieces.longest, int(sizes.max(initial=0)))):
+        inside = left[at] > k
+        at, h = at[inside], h[inside]
+        h = h * _PRIME + p[at + k]
+        found = np.full(len(points), -1, np.int32)
+        found[at] = pieces.find(h)
+        out.append(found)
     return out
 
 
@@ -114,7 +127,7 @@ def _forward(offsets: np.ndarray, windows: list[np.ndarray], chance: np.ndarray)
         live = int(np.searchsorted(-by_size, -end, "right"))
         w = order[:live]
         total = alpha[base[w] + end - 1] * floor
-        for k in range(1, min(PIECE, end) + 1):
+        for k in range(1, min(len(windows), end) + 1):
             piece = windows[k - 1][offsets[w] + end - k]
             has = np.nonzero(piece >= 0)[0]
             if len(has):
@@ -134,7 +147,7 @@ def _backward(offsets: np.ndarray, windows: list[np.ndarray], chance: np.ndarray
         w = order[: int(np.searchsorted(-by_size, -back, "right"))]
         at = sizes[w] - back
         total = beta[base[w] + at + 1] * (UNKNOWN * SCALE)
-        for k in range(1, min(PIECE, back) + 1):
+        for k in range(1, min(len(windows), back) + 1):
             piece = windows[k - 1][offsets[w] + at]
             has = np.nonzero(piece >= 0)[0]
             if len(has):
@@ -146,20 +159,21 @@ def _backward(offsets: np.ndarray, windows: list[np.ndarray], chance: np.ndarray
 def _expected(pieces: Pieces, words: pa.Array, lang: np.ndarray, count: np.ndarray, chance: np.ndarray) -> np.ndarray:
     """Expected counts of the pieces in words of known languages, over all segmentations."""
     langs = chance.shape[1]
+    long_ = np.asarray(pc.utf8_length(words.cast(pa.string())).to_numpy(zero_copy_only=False)) >= WORD
+    got = np.zeros(pieces.n * langs)
+    for i in np.nonzero(long_)[0].tolist():
+        piece, share = _expected_long(pieces, words.slice(i, 1), chance[:, lang[i]])
+        np.add.at(got, piece * langs + int(lang[i]), share * float(count[i]))
+    words, lang, count = words.filter(pa.array(~long_)), lang[~long_], count[~long_].astype(float)
+    if not len(words):
+        return got.reshape(-1, langs)
     offsets, points = _codes(words)
-    cut = [(a, min(a + WORD, b)) for s, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for a in range(s, b, WORD)]
-    owner = np.repeat(np.arange(len(words)), [-(-n // WORD) for n in np.diff(offsets).tolist()])
-    offsets = np.array([0, *(b for _, b in cut)], np.int64)
-    lang, count = lang[owner], count[owner].astype(float)
     sizes = np.diff(offsets)
     word = np.repeat(np.arange(len(sizes)), sizes)
-    windows = _windows(points, pieces)
-    for k, w in enumerate(windows):  # a piece must end within its word
-        w[np.arange(len(points)) + k + 1 > offsets[1:][word]] = -1
+    windows = _windows(offsets, points, pieces)
     alpha, beta = _forward(offsets, windows, chance), _backward(offsets, windows, chance)
     whole = alpha[offsets[1:] + np.arange(len(sizes))]
     place, own = np.arange(len(points)) + word, lang[word]  # alpha's row before each character
-    got = np.zeros(pieces.n * langs)
     for k, w in enumerate(windows):
         at = np.nonzero(w >= 0)[0]
         g = own[at]
@@ -168,6 +182,30 @@ def _expected(pieces: Pieces, words: pa.Array, lang: np.ndarray, count: np.ndarr
     return got.reshape(-1, langs)
 
 
+def _log_sum(terms: list[float]) -> float:
+    top = max(terms)
+    return top + math.log(sum(math.exp(t - top) for t in terms))
+
+
+def _expected_long(pieces: Pieces, word: pa.Array, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one long word of one language, in logarithms: pieces, expected counts."""
+    offsets, points = _codes(word)
+    windows, n, unknown = _windows(offsets, points, pieces), len(points), math.log(UNKNOWN)
+    found = [[(k + 1, int(w[i])) for k, w in enumerate(windows) if w[i] >= 0] for i in range(n)]
+    log = {p: math.log(float(chance[p])) for row in found for _, p in row}
+    ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+    for i, row in enumerate(found):
+        for k, p in row:
+            ends[i + k].append((i, p))
+    alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
+    for i in range(1, n + 1):
+        alpha[i] = _log_sum([alpha[i - 1] + unknown, *(alpha[j] + log[p] for j, p in ends[i])])
+    for i in range(n - 1, -1, -1):
+        beta[i] = _log_sum([beta[i + 1] + unknown, *(beta[i + k] + log[p] for k, p in found[i])])
+    pairs = [(p, math.exp(alpha[i] + log[p] + beta[i + k] - alpha[n])) for i, row in enumerate(found) for k, p in row]
+    return np.array([p for p, _ in pairs], np.int64), np.array([x for _, x in pairs])
+
+
 class Model:
     """Languages and the chance of each piece in each."""
 
@@ -176,7 +214,7 @@ class Model:
 
     @classmethod
     def fit(cls, langs: list[str], pieces: Pieces, words: pa.Array, lang: np.ndarray, count: np.ndarray, rounds: int = ROUNDS) -> Model:
-        """Expected counts of pieces over all segmentations of the words, again and again; words over WORD go in parts."""
+        """Expected counts of pieces over all segmentations of the words, again and again."""
         chance = np.full((pieces.n, len(langs)), 1.0 / max(1, pieces.n))
         for _ in range(rounds):
             got = np.full((pieces.n, len(langs)), PRIOR)
@@ -191,26 +229,28 @@ class Model:
         out = np.zeros((len(words), len(self.langs)))
         sizes = np.asarray(pc.utf8_length(words.cast(pa.string())).to_numpy(zero_copy_only=False))
         short = np.nonzero(sizes < WORD)[0]
-        if len(short):
-            offsets, points = _codes(words.take(pa.array(short)))
-            alpha = _forward(offsets, _windows(points, self.pieces), self.chance)
+        short = short[np.argsort(sizes[short], kind="stable")]  # words of about one length together
+        for start in range(0, len(short), PART):
+            part = short[start : start + PART]
+            offsets, points = _codes(words.take(pa.array(part)))
+            alpha = _forward(offsets, _windows(offsets, points, self.pieces), self.chance)
             n = np.diff(offsets)
-            out[short] = np.log(alpha[offsets[1:] + np.arange(len(short))]) - n[:, None] * np.log(SCALE)
+            out[part] = np.log(alpha[offsets[1:] + np.arange(len(part))]) - n[:, None] * np.log(SCALE)
         for i in np.nonzero(sizes >= WORD)[0].tolist():
             out[i] = self._long(words.slice(i, 1))
         return out
 
     def _long(self, word: pa.Array) -> np.ndarray:
         """A long word: the same sums, a character at a time, with the scale kept apart."""
-        _, points = _codes(word)
-        windows, n = _windows(points, self.pieces), len(points)
+        offsets, points = _codes(word)
+        windows, n, longest = _windows(offsets, points, self.pieces), len(points), self.pieces.longest
         ring, log = [np.ones(len(self.langs))], np.zeros(len(self.langs))
         for end in range(1, n + 1):
             total = ring[-1] * UNKNOWN
-            for k in range(1, min(PIECE, end) + 1):
+            for k in range(1, min(longest, end) + 1):
                 if (piece := windows[k - 1][end - k]) >= 0:
                     total = total + ring[-k] * self.chance[piece]
-            ring = [*ring[-PIECE + 1 :], total]
+            ring = [*ring[-longest:], total]
             if end % 8 == 0:
                 log, ring = log + np.log(total), [r / total for r in ring]
         return log + np.log(ring[-1])
@@ -227,13 +267,14 @@ def _word_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(spark: SparkSession, docs: DataFrame, vocabulary: str, sample: int = SAMPLE) -> Model | None:
-    """Fits the model on labelled rows (text, lang), about ``sample`` of each language at most; None without any.
+    """Fits the model on labelled rows (text, lang), about ``sample`` bytes of each language; None without any.
 
-    The sample is the bound of the fit: rows are taken by a hash of their text, at the rate that gives ``sample`` rows
-    of a language on average, so equal texts are all in or all out. Words are counted by the executors.
+    The sample is the bound of the fit: rows are taken by a hash of their text, at the rate that gives ``sample`` bytes
+    of a language on average, so equal texts are all in or all out. Words are counted by the executors; the driver gets
+    the distinct words of the sample. The model has a row for each piece and a column for each language.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long") + 1).alias("n")).collect()}
     if not sizes:
         return None
     rate = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))))
@@ -247,8 +288,8 @@ def fit(spark: SparkSession, docs: DataFrame, vocabulary: str, sample: int = SAM
 
 def _predict(it: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     model: Model | None = sent.value
-    for whole in it:
-        for batch in slices(whole):
+    for whole in released(it):
+        for batch in slices(whole, limit=HELD):
             text = pc.fill_null(batch.column("text"), "")
             letters = np.asarray(pc.match_substring_regex(text, r"\pL").to_numpy(zero_copy_only=False), bool)
             n = len(text)

@@ -13,14 +13,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, take
+from .common import Scratch, released, slices, take
 
 #: Tokens of a sequence.
 CAPACITY = 4096
-#: Rounds of multiplicative weights at most.
-ROUNDS = 80
-#: Distinct chunks of text that a worker remembers the ids of.
-REMEMBERED = 400_000
+#: Rounds of multiplicative weights of the first linear program and of later ones, and lengths priced in a round.
+ROUNDS, LATER_ROUNDS, PRICED = 96, 72, 192
+#: Programs in all: the first, and those of what rounding has left over.
+PROGRAMS = 6
+#: How strongly weights follow the coverage, and the share of the best price from which a configuration is used.
+STEEPNESS, ORACLE = 4.0, 0.98
+#: Distinct chunks of text that a task remembers the ids of.
+REMEMBERED = 100_000
 
 
 class Tokens:
@@ -28,9 +32,11 @@ class Tokens:
 
     The tokenizer must drop white space and never join what stands on its two sides, as the word BPE does; the ids of
     a text are then those of its chunks, in order. A-Z are lower-cased first (the tokenizer does so itself), except in
-    texts that hold ``<|``, where upper case decides whether a special token is meant. A letter before ``.`` or ``,``
-    always ends a word of this tokenizer, so these are cut off before white space. Chunks of lower-case letters of
-    ASCII and Latin-1 go to the BPE model of the tokenizer itself; all others through the whole tokenizer.
+    texts that hold ``<|``, where upper case decides whether a special token is meant. A lower-case letter of ASCII or
+    Latin-1 before ``.`` or ``,`` always ends a word of this tokenizer, so these are cut off before white space: such a
+    letter is its own normal form, whatever stands before it, and the marks compose with nothing. (Not so for other
+    letters: the lower case of a dotted capital I ends in a mark, which the tokenizer keeps with the full stop.) Chunks
+    of such letters alone go to the BPE model of the tokenizer itself; all others through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,7 +74,7 @@ class Tokens:
         """Offsets and ids (little-endian unsigned 32-bit) of each text; a null text has none."""
         text = pc.fill_null(text, "")
         special = pc.match_substring(text, "<|")
-        low = pc.replace_substring_regex(pc.ascii_lower(text), r"(\pL)([.,]+)(\s|$)", r"\1 \2\3")
+        low = pc.replace_substring_regex(pc.ascii_lower(text), r"([a-z\x{df}-\x{f6}\x{f8}-\x{ff}])([.,]+)(\s|$)", r"\1 \2\3")
         split = pc.ascii_split_whitespace(pc.if_else(special, text, low))
         first, values = split.offsets.to_numpy(), split.flatten().dictionary_encode()
         codes = values.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -86,7 +92,7 @@ _MADE: dict[str, Tokens] = {}
 
 
 def tokens_of(path: str) -> Tokens:
-    """One for each worker process and path; what it remembers is kept between tasks."""
+    """One for each worker process and path; what it remembers is dropped at the end of each task."""
     if path not in _MADE:
         _MADE[path] = Tokens(path)
     return _MADE[path]
@@ -97,9 +103,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 
 def _cut(it: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-    for whole in it:
+    tokens = tokens_of(path)
+    for whole in released(it, tokens.known.clear):
         for batch in slices(whole):
-            offsets, ids = tokens_of(path)(batch.column("text"))
+            offsets, ids = tokens(batch.column("text"))
             n = np.diff(offsets) + 1  # with the end
             pieces = -(-n // capacity)
             doc = np.repeat(np.arange(len(n)), pieces)
@@ -132,107 +139,133 @@ def _prices(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.n
     return best, took
 
 
-def _filled(took: np.ndarray, room: int) -> list[int]:
-    out = []
-    while room > 0:
-        if took[room]:
-            out.append(int(took[room]))
-            room -= int(took[room])
-        else:
-            room -= 1
-    return out
+def configuration_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, seed: int = 1) -> tuple[dict[tuple[int, ...], float], float]:
+    """Fractional packing: how often each configuration (lengths that fit a sequence) is used, and a lower bound.
 
-
-def configuration_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, groups: int = 128, slack: int = 0) -> list[tuple[list[int], float]]:
-    """Fractional packing: configurations (lengths that fit a sequence) and how often each is used.
-
-    The covering program "as few configurations as cover every length as often as it occurs" by multiplicative
-    weights: each length has a weight; a knapsack dynamic program prices the configuration of most weight; it is used
-    until the first of its lengths is halfway to its demand; the weights of what it covers fall. The
-    price of a configuration counts only lengths that are still short. Lengths are taken as they are, but only the
-    ``groups`` with most demand at a time are priced, so a round costs capacity * groups steps however many there are.
-    A configuration that leaves more than ``slack`` tokens free is not used: what it would cover is left to rounding.
+    The covering program "as few configurations as cover every length as often as it occurs" by multiplicative weights.
+    A length's weight falls exponentially with the share of its demand that is covered, against the share that the
+    round should have reached. In a round, a knapsack dynamic program prices the configurations of PRICED lengths, drawn
+    anew each round from those that are still short, under the weights; its table gives the best one around each of
+    them, and those within ORACLE of the best of all are used. A round costs capacity * PRICED steps, whatever the
+    counts, and there are PRICED * rounds configurations at most. Before the first and in every twelfth round all
+    lengths are priced at once: weights over the best price are a solution of the dual, so they bound the optimum from below.
     """
-    need = dict(zip(lengths.tolist(), counts.astype(float).tolist(), strict=True))
-    weight = {n: n * (1 + n / capacity) for n in need}  # short ones are worth less for each token: they fill gaps later
-    used: list[tuple[list[int], float]] = []
-    for _ in range(rounds):
-        short = sorted((n for n, c in need.items() if c >= 1), key=lambda n: -need[n] * n)[:groups]
-        if not short:
+    demand = counts.astype(float)
+    covered = np.zeros(len(lengths))
+    at = {n: i for i, n in enumerate(lengths.tolist())}
+    used: dict[tuple[int, ...], float] = {}
+    rng = np.random.default_rng(seed)
+    noise = 1 + 0.01 * rng.random(len(lengths))  # equal weights would always favour the same lengths
+    duals = [lengths.astype(float), lengths * noise]
+    for round_ in range(1, rounds + 1):
+        open_ = np.nonzero(demand - covered > 1e-9)[0]
+        if not len(open_):
             break
-        types = np.array(sorted(short))
-        _, took = _prices(types, np.array([weight[n] for n in types.tolist()]), capacity)
-        for anchor in sorted(short, reverse=True):  # from one table, the best configuration around each length
-            if need[anchor] < 1:
+        share = round_ / rounds
+        most = min(1.0, 1.2 * share + 0.1)  # of each demand: the last rounds still have all lengths to choose from
+        weight = lengths * (1 + 0.01 * rng.random(len(lengths))) * np.exp(STEEPNESS * (share - covered / demand))
+        if round_ % 12 == 0:
+            duals.append(lengths * np.exp(-STEEPNESS * covered / demand))
+        open_ = np.sort(rng.permutation(open_)[:PRICED])
+        best, took = _prices(lengths[open_], weight[open_], capacity)
+        fills: list[tuple[int, ...]] = [()]
+        for room in range(1, capacity + 1):
+            t = int(took[room])
+            fills.append((t, *fills[room - t]) if t else fills[room - 1])
+        for i in open_[::-1].tolist():
+            n = int(lengths[i])
+            if weight[i] + best[capacity - n] < ORACLE * best[capacity] and round_ < 0.75 * rounds:
                 continue
-            inside = [anchor, *_filled(took, capacity - anchor)]
-            times = {n: inside.count(n) for n in set(inside)}
-            step = min(need[n] / k for n, k in times.items())
-            step = step if step < 2 else max(1.0, 0.5 * step)
-            if step < 1 or sum(inside) < capacity - slack:
+            inside = tuple(sorted((n, *fills[capacity - n]), reverse=True))
+            each = [(at[x], inside.count(x)) for x in set(inside)]
+            step = min((demand[j] * most - covered[j]) / k for j, k in each)
+            if step <= 1e-9:
                 continue
-            used.append((inside, step))
-            for n, k in times.items():
-                need[n] -= step * k
-                weight[n] *= 1 - 0.05 * min(1.0, step * k / max(need[n] + step * k, 1.0))
-    return used
-
-
-def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> dict[tuple[int, ...], int]:
-    """Best-fit decreasing: each item, longest first, goes where the least room is left. Configurations, times."""
-    rooms: list[list[list[int]]] = [[] for _ in range(capacity + 1)]  # by room left
-    top = np.zeros(capacity + 2, np.int64)
-    for n, c in sorted(zip(lengths.tolist(), counts.tolist(), strict=True), reverse=True):
-        for _ in range(int(c)):
-            at = n + int(np.argmax(top[n : capacity + 1] > 0)) if top[n : capacity + 1].any() else -1
-            if at < 0:
-                bin_, left = [n], capacity - n
-            else:
-                bin_, left = rooms[at].pop(), at - n
-                top[at] -= 1
-                bin_.append(n)
-            rooms[left].append(bin_)
-            top[left] += 1
-    out: dict[tuple[int, ...], int] = {}
-    for room in rooms:
-        for b in room:
-            key = tuple(b)
-            out[key] = out.get(key, 0) + 1
-    return out
+            used[inside] = used.get(inside, 0.0) + step
+            for j, k in each:
+                covered[j] += step * k
+    return used, max(float(demand @ y) / float(_prices(lengths, y, capacity)[0][capacity]) for y in duals)
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations and how often each is used, so that every item is placed once.
+def best_fit(left: dict[int, int], out: dict[tuple[int, ...], int], capacity: int = CAPACITY) -> None:
+    """Best-fit decreasing of ``left`` (length: items) into the room of the configurations ``out``, then into new ones.
 
-    The fractional solution is rounded down; what it leaves over is packed by best fit, first into the room that the
-    rounded configurations leave, then into new sequences. A length of the whole capacity is a configuration by itself.
+    All items of a length go at once, into as many sequences of a configuration as they fill, so the time depends on
+    how many lengths and configurations there are, not on the items.
+    """
+    by_room: list[dict[tuple[int, ...], int]] = [{} for _ in range(capacity + 1)]
+    for key, times in out.items():
+        by_room[capacity - sum(key)][key] = times
+    out.clear()
+
+    def put(key: tuple[int, ...], n: int, k: int, times: int) -> None:
+        new = tuple(sorted((*key, *[n] * k), reverse=True))
+        room = by_room[capacity - sum(new)]
+        room[new] = room.get(new, 0) + times
+
+    for n in sorted(left, reverse=True):
+        c = left[n]
+        room = n
+        while c:
+            while room <= capacity and not by_room[room]:
+                room += 1
+            each = min(room, capacity) // n
+            key, times = by_room[room].popitem() if room <= capacity else ((), c // each + 1)
+            full = min(times, c // each)
+            c -= full * each
+            if full:
+                put(key, n, each, full)
+            if full < times and c:  # the last of them, not filled
+                put(key, n, c, 1)
+                c, full = 0, full + 1
+            if full < times and key:
+                by_room[room][key] = by_room[room].get(key, 0) + times - full
+    for room in by_room:
+        out.update(room)
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> tuple[dict[tuple[int, ...], int], dict[str, float]]:
+    """Configurations and how often each is used, so that every item is placed once; and figures of the solution.
+
+    The fractional solution is rounded: the configurations used most come first, each rounded up as far as there are
+    still items for it. What rounding leaves over is a smaller program of the same kind, PROGRAMS of them at most, as
+    long as each places a twentieth of what was left. The last rest goes by best fit into the room there is, then into new
+    sequences. What rounding can leave over is bounded by the number of configurations, not by the items, so the
+    driver's time depends on how many lengths there are. Figures: items, items placed from the programs, sequences, and
+    ``bound``, a lower bound on the sequences from the first program's dual.
     """
     left = {int(n): int(c) for n, c in zip(lengths, counts, strict=True) if c}
+    items = sum(left.values())
     out: dict[tuple[int, ...], int] = {}
+    bound = float(left.get(capacity, 0))
     if whole := left.pop(capacity, 0):
         out[(capacity,)] = whole
-    if left:
+    by_program = whole
+    for program in range(PROGRAMS):
+        if not left:
+            break
         types = np.array(sorted(left))
-        for inside, times in configuration_lp(types, np.array([left[n] for n in types.tolist()]), capacity):
-            if k := int(min([times, *(left[n] // inside.count(n) for n in set(inside))])):
-                for n in inside:
-                    left[n] -= k
-                key = tuple(sorted(inside, reverse=True))
-                out[key] = out.get(key, 0) + k
-        rest = sorted(((n, c) for n, c in left.items() if c), reverse=True)
-        rooms = sorted(((capacity - sum(k), k) for k in out if sum(k) < capacity), key=lambda x: x[0])
-        for room, key in rooms:  # the rest, longest first, into what room there is
-            for i, (n, c) in enumerate(rest):
-                if c and n <= room and out.get(key, 0):
-                    take_ = min(c, out[key])
-                    out[key] -= take_
-                    new = tuple(sorted((*key, n), reverse=True))
-                    out[new] = out.get(new, 0) + take_
-                    rest[i] = (n, c - take_)
-        if any(c for _, c in rest):
-            for key, k in best_fit(np.array([n for n, _ in rest]), np.array([c for _, c in rest]), capacity).items():
-                out[key] = out.get(key, 0) + k
-    return [(k, c) for k, c in out.items() if c]
+        used, below = configuration_lp(types, np.array([left[n] for n in types.tolist()]), capacity, LATER_ROUNDS if program else ROUNDS, program)
+        bound += 0.0 if program else below
+        before = sum(left.values())
+        for inside, times in sorted(used.items(), key=lambda x: (-x[1], x[0])):
+            each = {n: inside.count(n) for n in inside}
+            if k := min([int(np.ceil(times - 1e-9)), *(left.get(n, 0) // m for n, m in each.items())]):
+                out[inside] = out.get(inside, 0) + k
+                for n, m in each.items():
+                    left[n] -= k * m
+        left = {n: c for n, c in left.items() if c}
+        placed = before - sum(left.values())
+        by_program += placed
+        if placed < 0.05 * before:
+            break
+    best_fit(left, out, capacity)
+    return out, {"items": items, "by_program": by_program, "sequences": sum(out.values()), "bound": bound}
+
+
+def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations and how often each is used, so that every item is placed once. See :func:`solve`."""
+    return list(solve(lengths, counts, capacity)[0].items())
 
 
 def places(configurations: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
@@ -274,7 +307,8 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1,
     each length (``capacity`` rows at most, whatever the corpus); the plan that goes back has a few rows for each
     configuration, and their number is bounded by rounds and lengths too. A piece's number among those of its length
     is its number in its task plus the pieces of earlier tasks, so a very frequent length is never gathered.
-    A null or empty text is the end alone. A null doc_id stays null. Repeated rows are packed each. An empty table
+    A null or empty text is the end alone. A very long text is tokenised alone, whole. A null doc_id stays null. Other
+    columns of ``docs`` are ignored, whatever they are called. Repeated rows are packed each. An empty table
     gives no rows.
     """
     scratch = Scratch(spark)
