@@ -166,6 +166,22 @@ def shingles(offsets: np.ndarray, hashes: np.ndarray, width: int) -> tuple[np.nd
     return out, mix(acc)
 
 
+def parity_words(offsets: np.ndarray, hashes: np.ndarray, words: int) -> np.ndarray:
+    """Parity sketch of each set: each of 64 * ``words`` cells holds whether an odd number of its hashes falls into it.
+
+    Two sets differ by at least as many elements as their sketches differ by cells.
+    """
+    sets, cells = len(offsets) - 1, 64 * words
+    out = np.zeros((sets, words), np.int64)
+    for at in range(0, sets, 4096):  # so many sets at a time
+        stop = min(at + 4096, sets)
+        odd = np.zeros((stop - at) * cells, np.uint8)
+        own = np.repeat(np.arange(stop - at), np.diff(offsets[at : stop + 1]))
+        np.bitwise_xor.at(odd, own * cells + (hashes[offsets[at] : offsets[stop]] % np.uint64(cells)).astype(np.int64), np.uint8(1))
+        out[at:stop] = np.packbits(odd, bitorder="little").view(np.int64).reshape(-1, words)
+    return out
+
+
 def distinct_keys(offsets: np.ndarray, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct upper ``bits`` of the hashes of each set, sorted, below the number of the set: offsets, keys."""
     sets = len(offsets) - 1

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, distinct_sets, hash_words, mix, shingles, slices, take, words_of
+from .common import Scratch, distinct_sets, hash_words, mix, parity_words, released, shingles, slices, take, words_of
 from .components import link_buckets
 
 #: Words of a shingle; link at WIDTH-word Jaccard of PER_CENT / 100 or more.
@@ -19,6 +19,11 @@ BANDS, ROWS = 48, 8
 #: Standard errors below the threshold at which the signature already rules a pair out (a false one in 1e9).
 SIGMAS = 6.0
 
+#: 64-bit words of a set's parity sketch.
+PARITY = 32
+#: Bytes of text whose shingles are held at one time; a longer text is taken alone.
+HELD = 2 << 20
+
 SKETCH = "doc_id long, copy long, node long, check long, n_shingles long, bands binary, signature binary"
 
 
@@ -54,8 +59,8 @@ def minima(offsets: np.ndarray, hashes: np.ndarray, chunk: int = 1 << 16) -> np.
 
 
 def _sketch(it: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for whole in it:
-        for batch in slices(whole):
+    for whole in released(it):
+        for batch in slices(whole, limit=HELD):
             offsets, hashes = sets_of(batch.column("text"), width)
             sizes = np.diff(offsets)
             n, full = len(sizes), np.nonzero(sizes)[0]
@@ -96,7 +101,7 @@ def _agree(it: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatc
 
 
 def _verify(it: Iterator[pa.RecordBatch], width: int, per_cent: int) -> Iterator[pa.RecordBatch]:
-    for whole in it:
+    for whole in released(it):
         for half in slices(whole, "ta"):
             for b in slices(half, "tb"):
                 (oa, ha), (ob, hb) = (sets_of(b.column(c), width) for c in ("ta", "tb"))
@@ -110,7 +115,7 @@ def _verify(it: Iterator[pa.RecordBatch], width: int, per_cent: int) -> Iterator
 
 
 def _tokens(it: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for whole in it:
+    for whole in released(it):
         for b in slices(whole):
             offsets, hashes = sets_of(b.column("text"), width)
             sizes = np.diff(offsets)
@@ -118,6 +123,13 @@ def _tokens(it: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(hashes.view(np.int64)), pa.array(np.repeat(sizes, sizes))], ["node", "token", "n"])
 
 
+def _parity(it: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for whole in released(it):
+        for b in slices(whole, limit=HELD):
+            words = parity_words(*sets_of(b.column("text"), width), PARITY)
+            yield pa.RecordBatch.from_arrays([b.column("node"), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(PARITY))], ["node", *(f"p{k}" for k in range(PARITY))])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
     """Groups of near-duplicate documents: doc_id, n_shingles, component_id, kept; one row for each row of ``docs``.
 
@@ -147,7 +159,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, pe
     ids = classes.select("node", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "copy")
     own = full.select("node", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "copy", "bands", "signature")
     reps = scratch.write(own.join(ids, ["node", "id", "none", "copy"], "left_semi").dropDuplicates(["node"]).select("node", "bands", "signature"), "reps")
-    bands = reps.select("node", "bands").mapInArrow(_band_rows, "band long, node long")
+    bands = reps.select("node", "bands").mapInArrow(_band_rows, "band long, node long").repartition("band")  # counted and joined where it lies
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     buckets = scratch.write(bands.join(shared, "band", "left_semi"), "buckets")
 
@@ -169,7 +181,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, pe
     def sets(nodes: DataFrame) -> DataFrame:
         return needed.join(nodes, "node", "left_semi").mapInArrow(lambda it: _tokens(it, width), "node long, token long, n long")
 
-    roots = link_buckets(buckets, linked, sets, threshold, scratch)
+    sketches = needed.mapInArrow(lambda it: _parity(it, width), f"node long, {', '.join(f'p{k} long' for k in range(PARITY))}")
+    roots = link_buckets(buckets, linked, sets, threshold, scratch, sketches=sketches)
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(least, "root").select("node", "check", "n_shingles", "component_id")
