@@ -81,36 +81,34 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame | None, similarity: float, sc
     n >= m tokens at the coefficient t share t / (1 + t) * (m + n) of them at least, so t * n <= m, and one of the first
     n - t * n + 1 tokens of both is common. What they share is at most those of their first tokens that are common, and
     all later tokens of the set whose first tokens end earlier; pairs that can't reach the bound so are left out. Tokens
-    of one set alone are counted, not joined, so what a set has for itself rules it out first: what costs is the rare
-    tokens that sets which may be linked share, not how many sets share frequent ones.
+    of one component alone are counted, not joined, so what a set has for itself rules it out first. Of the sets that
+    hold a token, those of its main component are joined with the others only, not with one another.
 
     ``sketches`` (node, and words p0, p1, ... of parity sketches) adds the bitmap filter of exact similarity joins: sets
     differ by at least as many tokens as their sketches by bits, so the join meets no pair whose sketches differ by more
     than sets that share enough can.
     """
     least = F.lit(similarity)
-    held = sets.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
-    common = sets.join(held, "token").select("node", "token", "n", "held")
-    # what a set shares with all others is a bound on what it shares with one
+    if roots is not None:
+        rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    else:
+        rooted = sets.withColumn("root", F.col("node"))
+    # only what sets of two components hold counts; of two components, one at least is not the token's main one
+    by_root = rooted.groupBy("token", "root").agg(F.count("*").alias("sets"))
+    tokens = by_root.groupBy("token").agg(F.sum("sets").alias("held"), F.max_by("root", F.struct("sets", "root")).alias("most"), F.count("*").alias("roots"))
+    common = rooted.join(tokens.where("roots > 1").select("token", "held", "most"), "token")
+    # what a set shares with all sets of other components is a bound on what it shares with one
     own = common.groupBy("node", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.ceil(least * F.col("n") - 1e-6))
     able = common.join(own.select("node", "shared"), "node")
     place = F.row_number().over(Window.partitionBy("node").orderBy("held", "token")) - 1 + F.col("n") - F.col("shared")
     last = F.col("n") - F.ceil(least * F.col("n") - 1e-6)
     ranked = able.withColumn("place", place).where(F.col("place") <= last)
     ends = ranked.where(F.col("place") == last).select("node", F.struct("held", "token").alias("end"))
-    firsts = ranked.select("token", "node", "n", "shared").join(ends, "node")
-    if roots is not None:
-        firsts = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    else:
-        firsts = firsts.withColumn("root", F.col("node"))
+    firsts = ranked.select("token", "node", "n", "shared", "root", "most").join(ends, "node")
     words = [c for c in sketches.columns if c != "node"] if sketches is not None else []
     if words:
         firsts = firsts.join(sketches, "node")
-    firsts = scratch.write(firsts.select("token", "node", "n", "shared", "end", "root", *words), "prefixes")
-    # of two components, one at least is not the one that has most of a token's sets: those are joined with all others
-    by_root = firsts.groupBy("token", "root").agg(F.count("*").alias("sets"))
-    most = by_root.groupBy("token").agg(F.max_by("root", F.struct("sets", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("token", "most")
-    firsts = firsts.join(most, "token")
+    firsts = scratch.write(firsts.select("token", "node", "n", "shared", "end", "root", "most", *words), "prefixes")
     x, y = firsts.where("root <> most").alias("x"), firsts.alias("y")
     needed = F.ceil(least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-6)
     sizes = (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-6) & (F.least("x.shared", "y.shared") >= needed)
@@ -126,7 +124,7 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame | None, similarity: float, sc
 
 def link_buckets(
     buckets: DataFrame, linked: Callable[[DataFrame, str], DataFrame], sets: Callable[[DataFrame], DataFrame], similarity: float, scratch: Scratch,
-    components: Callable[[DataFrame, Scratch], DataFrame] = star_components, rounds: int = 3, few: int = 24, centres: int = 8,
+    components: Callable[[DataFrame, Scratch], DataFrame] = star_components, rounds: int = 3, few: int = 16, centres: int = 8,
     sketches: DataFrame | None = None,
 ) -> DataFrame:
     """Components of the links inside buckets (band, node), without all pairs of a large bucket: node, root.
