@@ -212,8 +212,14 @@ def contingency(df: DataFrame, rows: DataFrame, columns: DataFrame, row_key: str
 
 
 def offsets(counts: DataFrame, key: str, n: str = "n", name: str = "offset") -> DataFrame:
-    """Exclusive running sum of a dimension table's counts, by key."""
-    return counts.withColumn(name, F.coalesce(F.sum(n).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """Exclusive running sum of counts, by key: sums within ranges of keys, and the sums of earlier ranges."""
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = counts.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
+    sums = ranged.groupBy("_part").agg(F.sum(n).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = ranged.withColumn(name, inside).join(sums.select("_part", before.alias("_before")), "_part")
+    return out.withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
 
 
 # --- unions ------------------------------------------------------------------------------------------------------

@@ -33,10 +33,10 @@ def test_query(spark, duck, name):
 def test_whole_tables_are_answered(spark):
     ids = lambda table, key: {r[0] for r in spark.read.parquet(f"{DATA}/{table}.parquet").select(key).collect()}
     of = lambda name, key: {r[0] for r in QUERIES[name](spark, DATA).select(key).distinct().collect()}
-    assert of("nl_images_whole", "i") == ids("embeddings", "vec_id")
+    assert of("nl_images", "i") == ids("embeddings", "vec_id")
     nations = {r[0] for r in spark.read.parquet(f"{DATA}/customer.parquet").select("c_nationkey").collect()}
     with_customers = {r[0] for r in spark.read.parquet(f"{DATA}/supplier.parquet").select("s_suppkey", "s_nationkey").collect() if r[1] in nations}
-    assert of("subselect_pairs_whole", "s_suppkey") == with_customers and "< 60" not in ORACLE_SQL["nl_images_whole"] and "<= 10" not in ORACLE_SQL["subselect_pairs_whole"]
+    assert of("subselect_pairs", "s_suppkey") == with_customers and "< 60" not in ORACLE_SQL["nl_images"] and "<= 10" not in ORACLE_SQL["subselect_pairs"]
 
 
 def test_entry(spark):
