@@ -417,3 +417,11 @@ def test_streams(spark, tmp_path):
     q = streams.tuned_stream(streams.read_stream(spark, path, t.schema), 4).writeStream.outputMode("append").format("memory").queryName("widths").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("widths").count() == 40
+
+
+def test_erfc_to_twelve_digits(spark):
+    from corpuscle.functions.special import erfc
+
+    xs = [i / 37 for i in range(-200, 960)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", erfc(F.col("x")).alias("y")).collect()
+    assert all(abs(r.y - math.erfc(r.x)) <= 2e-12 * math.erfc(r.x) for r in got)
