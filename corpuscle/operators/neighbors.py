@@ -7,8 +7,6 @@ inclusion_id (pairs must agree; the system by default) and exclusion_id (pairs m
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,19 +32,23 @@ def cells_per_axis(h: tuple[Column, ...], cutoff: Column) -> tuple[Column, ...]:
     return tuple(F.greatest(F.lit(1), F.floor(p / cutoff).cast("int")) for p in perpendicular(h))
 
 
-def _candidates(placed: DataFrame, strategy: str) -> DataFrame:
-    """Pairs of particles of one system that may be near: all of the system, or those of the 27 cells around."""
+def _candidates(placed: DataFrame, strategy: str, ids: DataFrame | None = None) -> DataFrame:
+    """Pairs of particles of one system that may be near: all of the system, or those of the 27 cells around.
+
+    With ``ids`` (particle_id), only pairs whose first particle is one of them.
+    """
     dims = [*CELL, "cutoff"]
+    of = (lambda df: df) if ids is None else (lambda df: df.join(ids, "particle_id", "left_semi"))
     if strategy == "all":  # every pair of particles, then one system: for tests
-        left, right = _side(placed, "l"), _side(placed, "r", *dims).withColumnRenamed("system_id", "r_system_id")
+        left, right = _side(of(placed), "l"), _side(placed, "r", *dims).withColumnRenamed("system_id", "r_system_id")
         out = left.join(right, F.col("system_id") == F.col("r_system_id") + F.lit(0)).drop("r_system_id")
     elif strategy == "dense":
-        out = _side(placed, "l").join(_side(placed, "r", *dims), "system_id")
+        out = _side(of(placed), "l").join(_side(placed, "r", *dims), "system_id")
     else:
         n = cells_per_axis(cell(), F.col("cutoff"))
         at = [F.least(F.floor(F.pmod(F.col(f), F.lit(1.0)) * k).cast("int"), k - 1) for f, k in zip(("fa", "fb", "fc"), n, strict=True)]
         binned = placed.withColumns({f"c{a}": c for a, c in zip("abc", at, strict=True)} | {f"n{a}": k for a, k in zip("abc", n, strict=True)})
-        left = _side(binned, "l", "ca", "cb", "cc", "na", "nb", "nc")
+        left = _side(of(binned), "l", "ca", "cb", "cc", "na", "nb", "nc")
         for a in "abc":  # distinct cells only: an axis of one or two cells is its own neighbor
             around = F.array(*(F.pmod(F.col(f"l_c{a}") + d, F.col(f"l_n{a}")) for d in (-1, 0, 1)))
             left = left.withColumn(f"k{a}", F.explode(F.array_distinct(around)))
@@ -55,8 +57,8 @@ def _candidates(placed: DataFrame, strategy: str) -> DataFrame:
     return out.withColumnsRenamed({f"r_{d}": d for d in dims})
 
 
-def neighbor_list(particles: DataFrame, systems: DataFrame, strategy: str = "auto", images: bool = True) -> DataFrame:
-    """Edges below each system's cutoff.
+def neighbor_list(particles: DataFrame, systems: DataFrame, strategy: str = "auto", images: bool = True, of: DataFrame | None = None) -> DataFrame:
+    """Edges below each system's cutoff; with ``of`` (particle_id), those that start at one of these particles.
 
     ``strategy``: ``cell`` joins on grid cells (work in proportion to the particles), ``dense`` on the system, ``all`` is
     for tests; ``auto`` takes cells if some system has a cutoff below 0.3 of its cell. With ``images``, a cutoff of more
@@ -66,7 +68,7 @@ def neighbor_list(particles: DataFrame, systems: DataFrame, strategy: str = "aut
     if strategy == "auto":
         least = F.least(*perpendicular(cell()))
         strategy = "dense" if systems.where(F.col("cutoff") < 0.3 * least).isEmpty() else "cell"
-    pairs = _candidates(_placed(particles, systems), strategy).where("l_inc = r_inc")
+    pairs = _candidates(_placed(particles, systems), strategy, of).where("l_inc = r_inc")
     l, r = tuple(F.col(f"l_f{a}") for a in "abc"), tuple(F.col(f"r_f{a}") for a in "abc")
     shift = [F.rint(a - b) for a, b in zip(l, r, strict=True)]
     excluded = F.col("l_exc") == F.col("r_exc")
@@ -114,19 +116,18 @@ def with_vectors(edges: DataFrame, particles: DataFrame, systems: DataFrame) ->
 def changes(particles: DataFrame, moved: DataFrame, systems: DataFrame, strategy: str = "dense", images: bool = True) -> tuple[DataFrame, DataFrame]:
     """Edges that appear and edges that vanish when the rows of ``moved`` replace those of ``particles``.
 
-    Only pairs with a changed particle are searched: changed against all, then both directions. ``images`` is that of
-    the list which is brought up to date.
+    Only pairs with a changed particle are searched: those that start at one, and the other direction of those that end
+    at one that stays. ``images`` is that of the list which is brought up to date.
     """
     ids = moved.select("particle_id")
     still = particles.join(ids, "particle_id", "left_anti")
     new = still.unionByName(moved.select(*particles.columns))
 
     def around(table: DataFrame) -> DataFrame:
-        hit = table.join(ids, "particle_id", "left_semi")
-        owners = hit.select("system_id").distinct()
-        edges = neighbor_list(table.join(owners, "system_id", "left_semi"), systems, strategy, images)
-        ends = [edges.join(ids.withColumnRenamed("particle_id", k), k, "left_semi").select(*EDGE) for k in ("i", "j")]
-        return reduce(DataFrame.union, ends).distinct()
+        edges = neighbor_list(table, systems, strategy, images, ids)
+        back = edges.join(ids.withColumnRenamed("particle_id", "j"), "j", "left_anti")
+        turned = [F.col("j").alias("i"), F.col("i").alias("j"), *((-F.col(c)).alias(c) for c in EDGE[3:9])]
+        return edges.union(back.select("system_id", *turned, "r2"))
 
     before, after = around(particles), around(new)
     key = ["system_id", "i", "j", "sx", "sy", "sz", "r2"]
