@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import BOLTZMANN
 from ..functions import geometry as geo
 from ..operators import energies, neighbors, observables, relational
+from . import dynamics, montecarlo
 from .queries import EDGES_SQL, P, particles, query, species, systems, table
 
 # --- relational core ----------------------------------------------------------------------------------------------
@@ -259,3 +260,24 @@ def lattice_stress(spark: SparkSession, d: str) -> DataFrame:
 def species_totals(spark: SparkSession, d: str) -> DataFrame:
     """A state property of the user's own: an aggregate by species."""
     return particles(spark, d).join(species(spark).select("label"), "label").groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum("mass"), 5).alias("mass"))
+
+
+# --- Monte Carlo --------------------------------------------------------------------------------------------------
+
+
+def _grand(spark: SparkSession, d: str) -> tuple[montecarlo.State, DataFrame, DataFrame]:
+    """Every particle is a molecule of its own; an inserted one is one particle."""
+    p = particles(spark, d).withColumn("group_id", F.col("particle_id")).withColumn("motif_id", F.lit(0)).withColumn("motif_particle_id", F.lit(0).cast("long"))
+    s = systems(spark, d).withColumn("log_fugacity", F.lit(2.0))
+    motif = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0, 1.0, 0.0, "s0")], "motif_id int, motif_particle_id long, x double, y double, z double, mass double, charge double, label string")
+    return montecarlo.State(p, p.select("group_id", "system_id", "motif_id")), s, motif
+
+
+@query()
+def gcmc_run(spark: SparkSession, d: str) -> DataFrame:
+    """A short grand-canonical chain of all systems: displacements and exchanges mixed."""
+    state, s, motif = _grand(spark, d)
+    par = energies.mix_lorentz_berthelot(species(spark))
+    energy = lambda p: energies.lj_energy(neighbors.neighbor_list(p, s, "cell"), p, par, s)
+    move = montecarlo.displacement(lambda at, of, n: dynamics.translate_particle(at.particles, of, 0.1, 3, n))
+    return montecarlo.run_mcmc(state, montecarlo.mixed([move, montecarlo.exchange(motif, 3)], [1, 1], 3), energy, s, 3, 3)[1]
