@@ -73,6 +73,10 @@ def union_find(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
+#: Smallest ones of its first tokens that a set carries through the prefix join.
+SAMPLE = 8
+
+
 def prefix_pairs(sets: DataFrame, roots: DataFrame | None, similarity: float, scratch: Scratch, sketches: DataFrame | None = None) -> DataFrame:
     """All pairs (a, b), a < b, of sets in different components that can reach a Jaccard coefficient of ``similarity``.
 
@@ -86,7 +90,10 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame | None, similarity: float, sc
 
     ``sketches`` (node, and words p0, p1, ... of parity sketches) adds the bitmap filter of exact similarity joins: sets
     differ by at least as many tokens as their sketches by bits, so the join meets no pair whose sketches differ by more
-    than sets that share enough can.
+    than sets that share enough can. Where the sketches have a cell for each token of two sets, they tell the pair well
+    enough without a count of common tokens: two sets that have one in common among the SAMPLE smallest (by value, a hash)
+    of their first tokens meet at the smallest such token alone, so that the pair makes one row however much it shares.
+    Other pairs meet at each common token.
     """
     least = F.lit(similarity)
     if roots is not None:
@@ -103,22 +110,25 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame | None, similarity: float, sc
     place = F.row_number().over(Window.partitionBy("node").orderBy("held", "token")) - 1 + F.col("n") - F.col("shared")
     last = F.col("n") - F.ceil(least * F.col("n") - 1e-6)
     ranked = able.withColumn("place", place).where(F.col("place") <= last)
-    ends = ranked.where(F.col("place") == last).select("node", F.struct("held", "token").alias("end"))
+    ends = ranked.groupBy("node").agg(F.max(F.struct("held", "token")).alias("end"), F.slice(F.sort_array(F.collect_list("token")), 1, SAMPLE).alias("sample"))
     firsts = ranked.select("token", "node", "n", "shared", "root", "most").join(ends, "node")
     words = [c for c in sketches.columns if c != "node"] if sketches is not None else []
     if words:
         firsts = firsts.join(sketches, "node")
-    firsts = scratch.write(firsts.select("token", "node", "n", "shared", "end", "root", "most", *words), "prefixes")
+    firsts = scratch.write(firsts.select("token", "node", "n", "shared", "end", "sample", "root", "most", *words), "prefixes")
     x, y = firsts.where("root <> most").alias("x"), firsts.alias("y")
     needed = F.ceil(least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-6)
     sizes = (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-6) & (F.least("x.shared", "y.shared") >= needed)
     if words:
         apart = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
         sizes = sizes & (apart <= F.col("x.n") + F.col("y.n") - 2 * needed)
+    both = F.array_intersect("x.sample", "y.sample")
+    once = (F.size(both) > 0) & (F.col("x.n") + F.col("y.n") <= 64 * len(words))
+    sizes = sizes & (~once | (F.get(both, F.lit(0)) == F.col("x.token")))
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.node") < F.col("y.node")) | (F.col("y.root") == F.col("y.most"))) & sizes)
     shorter = F.when(F.col("x.end") <= F.col("y.end"), F.col("x.n")).otherwise(F.col("y.n"))
     later = F.ceil(least * shorter - 1e-6) - 1
-    met = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), (needed - later).alias("least"))
+    met = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.when(once, 1).otherwise(needed - later).alias("least"))
     return met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("least").alias("least")).where("c >= least").select("a", "b")
 
 
