@@ -160,9 +160,11 @@ def link_buckets(
         if roots is not None:
             live = live.join(roots, "node", "left").select("band", "node", "weight", F.coalesce("root", "node").alias("root"))
             spread = live.groupBy("band").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("band")
-            live = scratch.write(live.join(spread, "band", "left_semi"), "open")  # a bucket of one component stays one
+            new = scratch.write(live.join(spread, "band", "left_semi"), "open")  # a bucket of one component stays one
+            scratch.drop(written)
+            live = written = new
         else:
-            live = scratch.write(live.withColumn("root", F.col("node")), "open")
+            live = written = scratch.write(live.withColumn("root", F.col("node")), "open")
         if n and live.isEmpty():
             break
         last = n == rounds or idle
