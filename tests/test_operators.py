@@ -425,3 +425,42 @@ def test_erfc_to_twelve_digits(spark):
     xs = [i / 37 for i in range(-200, 960)]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", erfc(F.col("x")).alias("y")).collect()
     assert all(abs(r.y - math.erfc(r.x)) <= 2e-12 * math.erfc(r.x) for r in got)
+
+
+def _all_pairs(r, box, sigma, epsilon, cutoff):
+    energy, forces = 0.0, [[0.0] * 3 for _ in r]
+    for i in range(len(r)):
+        for j in range(len(r)):
+            d = [b - a - h * round((b - a) / h) for a, b, h in zip(r[i], r[j], box, strict=True)]
+            r2 = sum(c * c for c in d)
+            if i != j and r2 < cutoff * cutoff:
+                s6 = (sigma * sigma / r2) ** 3
+                energy += 2 * epsilon * (s6 * s6 - s6)
+                forces[i] = [f + 24 * epsilon * (s6 - 2 * s6 * s6) / r2 * c for f, c in zip(forces[i], d, strict=True)]
+    return energy, forces
+
+
+@pytest.mark.parametrize("cutoff", [0.3, 0.9, 1.4])
+def test_blocks_of_pairs_give_all_forces(cutoff, monkeypatch):
+    r, box = np.random.default_rng(3).uniform(-1.6, 1.6, (60, 3)), np.array([2.0, 1.5, 1.8])
+    energy, forces = _all_pairs(r, box, 0.2, 0.5, cutoff)
+    for pairs in (1, 150, 1 << 18):  # also blocks of one and of a few particles
+        monkeypatch.setattr(dynamics, "PAIRS_AT_ONCE", pairs)
+        got = dynamics._lj_numpy(r, box, 0.2, 0.5, cutoff)
+        assert got[0] == pytest.approx(energy, rel=1e-9) and np.allclose(got[1], forces, rtol=1e-8, atol=1e-9 * np.abs(forces).max())
+
+
+def _peak_mb(f) -> float:
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_md_memory_grows_with_particles_not_pairs():
+    r = np.random.default_rng(4).normal(0, 0.12, (2500, 3))
+    assert _peak_mb(lambda: dynamics._lj_numpy(r, np.full(3, 2.0), 0.02, 1e-6, 0.2)) < 50  # all pairs at once: 150 for one array
