@@ -464,3 +464,10 @@ def _peak_mb(f) -> float:
 def test_md_memory_grows_with_particles_not_pairs():
     r = np.random.default_rng(4).normal(0, 0.12, (2500, 3))
     assert _peak_mb(lambda: dynamics._lj_numpy(r, np.full(3, 2.0), 0.02, 1e-6, 0.2)) < 50  # all pairs at once: 150 for one array
+
+
+@pytest.mark.parametrize("optimizer", ["fire", "lbfgs"])
+def test_relaxation_memory_grows_with_particles_not_pairs(optimizer):
+    r = np.random.default_rng(5).normal(0, 0.12, (2500, 3))
+    forces = lambda x: dynamics._lj_numpy(x, np.full(3, 2.0), 0.02, 1e-6, 0.2)[:2]
+    assert _peak_mb(lambda: dynamics.OPTIMIZERS[optimizer](r, forces, 2)) < 50
