@@ -532,3 +532,27 @@ def test_components(spark):
     for f in (star_components, union_find):
         assert {r.node: r.root for r in f(table, Scratch(spark)).collect()} == expected
         assert f(table.limit(0), Scratch(spark)).count() == 0
+
+
+def _shuffled_in(spark, monkeypatch, f):
+    """Names of what ``f`` writes to scratch, and its result."""
+    names, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: names.append(name) or write(self, df, name))
+    return names, f()
+
+
+def test_band_keys_and_tokens_are_dealt_in_parts(spark, monkeypatch):
+    from corpuscle.llm import components
+
+    rng = np.random.default_rng(8)
+    sets = [(i, t) for i in range(30) for t in (rng.permutation(40)[:25] - 20).tolist()]  # negative tokens too
+    table = spark.createDataFrame([(i, t, 25) for i, t in sets], "node long, token long, n long")
+    pairs = lambda parts: sorted(map(tuple, components.prefix_pairs(table, None, 0.5, Scratch(spark), parts=parts).collect()))
+    names, split = _shuffled_in(spark, monkeypatch, lambda: pairs(3))
+    assert names == ["tokens"] + ["common"] * 3 + ["prefixes"] * 3
+    of = {i: {t for j, t in sets if j == i} for i in range(30)}
+    linked = {(i, j) for i in of for j in of if i < j and 2 * len(of[i] & of[j]) >= len(of[i] | of[j])}
+    assert split == pairs(1) and linked and linked <= set(split)
+    docs = spark.createDataFrame([(i, f"a common line that many of the documents have, number {i % 2}\nline {i}") for i in range(8)], "doc_id long, text string")
+    names, rows = _shuffled_in(spark, monkeypatch, lambda: linededup.duplicate_lines(spark, docs).collect())
+    assert names.count("buckets") == linededup.PARTS > 1 and sum(r.n_removed for r in rows) >= 6
