@@ -556,3 +556,35 @@ def test_band_keys_and_tokens_are_dealt_in_parts(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a common line that many of the documents have, number {i % 2}\nline {i}") for i in range(8)], "doc_id long, text string")
     names, rows = _shuffled_in(spark, monkeypatch, lambda: linededup.duplicate_lines(spark, docs).collect())
     assert names.count("buckets") == linededup.PARTS > 1 and sum(r.n_removed for r in rows) >= 6
+
+
+def test_only_first_tokens_of_lines_become_rows(spark, monkeypatch):
+    from corpuscle.llm import components
+
+    rng = np.random.default_rng(10)
+    tokens, of = rng.integers(-(1 << 62), 1 << 62, 300).tolist(), {}
+    for i in range(0, 160, 4):
+        base = rng.choice(tokens, rng.integers(3, 40), replace=False).tolist()
+        for j in range(4):
+            of[i + j] = set(base[rng.integers(0, 3) :]) | set(rng.choice(tokens, rng.integers(0, 4)).tolist())
+    root = {i: i - i % 4 if i % 8 < 2 else i for i in of}
+    near = {(i, j) for i in of for j in of if i < j and root[i] != root[j] and 5 * len(of[i] & of[j]) >= 4 * len(of[i] | of[j])}
+    table = spark.createDataFrame([(i, sorted(x)) for i, x in of.items()], "node long, x array<long>")
+    roots = spark.createDataFrame([(i, r) for i, r in root.items() if i % 8 < 2], "node long, root long")
+    sketches = linededup.sketches_of(table.toDF("h", "x")).drop("n").withColumnRenamed("h", "node")
+    kept, write = {}, Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: kept.setdefault(name, []).append(write(self, df, name)) or kept[name][-1])
+    monkeypatch.setattr(Scratch, "drop", lambda self, *tables: None)
+    monkeypatch.setattr(components, "PART_ROWS", 200)
+    for size in (1 << 15, 20):  # also with an order from a few sets
+        monkeypatch.setattr(components, "ORDER_SETS", size)
+        kept.clear()
+        assert near and near <= {tuple(r) for r in components.ranked_pairs(table, roots, 0.8, Scratch(spark), sketches).collect()}
+        rows = {r.node: len(r["first"]) for r in kept["prefixes"][0].collect()}
+        assert rows == {i: len(x) - math.ceil(0.8 * len(x) - 1e-6) + 1 for i, x in of.items()}
+        assert len(kept["met"]) == math.ceil(sum(rows.values()) / 200) > 3
+    head = "many different lines begin with these very words, of which each of them then goes its own way: "
+    docs = spark.createDataFrame([(i, head + f"{rng.integers(1 << 60):015x}") for i in range(120)], "doc_id long, text string")  # buckets of more than 16
+    kept.clear()
+    assert linededup.duplicate_lines(spark, docs).agg(F.sum("n_removed")).first()[0] == 0
+    assert "met" in kept and "tokens" not in kept
