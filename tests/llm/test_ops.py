@@ -583,6 +583,12 @@ def test_only_first_tokens_of_lines_become_rows(spark, monkeypatch):
         rows = {r.node: len(r["first"]) for r in kept["prefixes"][0].collect()}
         assert rows == {i: len(x) - math.ceil(0.8 * len(x) - 1e-6) + 1 for i, x in of.items()}
         assert len(kept["met"]) == math.ceil(sum(rows.values()) / 200) > 3
+    alike = spark.createDataFrame([(i, list(range(350)) + [1000 * i + 1000 + k for k in range(45)]) for i in range(12)], "node long, x array<long>").select("node", F.transform("x", lambda t: F.xxhash64(t)).alias("x"))
+    sketches = linededup.sketches_of(alike.toDF("h", "x")).drop("n").withColumnRenamed("h", "node")
+    kept.clear()
+    components.ranked_pairs(alike, None, 0.79, Scratch(spark), sketches).count()
+    rows = [r.c for t in kept["met"] for r in t.collect()]
+    assert len(rows) > 30 and sum(rows) < 3 * len(rows)  # pairs below the threshold meet at one of their 35 common first tokens
     head = "many different lines begin with these very words, of which each of them then goes its own way: "
     docs = spark.createDataFrame([(i, head + f"{rng.integers(1 << 60):015x}") for i in range(120)], "doc_id long, text string")  # buckets of more than 16
     kept.clear()
