@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm import decontaminate, katz, langid, licences, linededup, neardup, packing, pii, queries, sharding, topk
 from corpuscle.llm.common import Scratch
-from corpuscle.llm.components import star_components, union_find
+from corpuscle.llm.components import link_buckets, star_components, union_find
 
 from ..conftest import DATA
 from .conftest import ODD
@@ -233,6 +233,27 @@ def test_large_buckets_lose_no_link(spark):
     assert {r.doc_id for r in got.where("n_removed > 0").collect()} == gone
 
 
+def test_roots_are_looked_up_once_for_each_node_of_large_buckets(spark):
+    """Sixty nodes in twelve buckets each, of two components that stay apart."""
+    nodes, bands = 60, 12
+    buckets = spark.range(nodes * bands).selectExpr(f"id % {bands} as band", f"id div {bands} as node").cache()
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    linked = lambda pairs, name: pairs.where("a % 2 = b % 2")
+    sets = lambda of: of.selectExpr("node", "node as token", "1L as n")
+    roots = link_buckets(buckets, linked, sets, 0.8, Scratch(spark))
+    assert {(r.node, r.root) for r in roots.collect()} == {(i, i % 2) for i in range(nodes)}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    made, runs = [], store.executionsList(before, 1000)
+    for k in range(runs.size()):
+        values, graph = store.executionMetrics(runs.apply(k).executionId()), store.planGraph(runs.apply(k).executionId()).allNodes()
+        for node in (graph.apply(i) for i in range(graph.size())):
+            if re.search(r"Join \[node#\d+L?\], \[node#\d+L?\], LeftOuter", node.desc()):
+                rows = [m.accumulatorId() for m in (node.metrics().apply(i) for i in range(node.metrics().size())) if m.name() == "number of output rows"]
+                made += [int(values.apply(m).replace(",", "")) for m in rows if values.contains(m)]
+    assert made and max(made) <= nodes, made
+
+
 def test_short_lines_that_are_near_duplicates_share_a_band(spark):
     rng = np.random.default_rng(3)
     pairs = [("1. introduction", "2. introduction")]
