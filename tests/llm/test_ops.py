@@ -579,6 +579,28 @@ def test_band_keys_and_tokens_are_dealt_in_parts(spark, monkeypatch):
     assert names.count("buckets") == linededup.PARTS > 1 and sum(r.n_removed for r in rows) >= 6
 
 
+def test_lines_are_grouped_before_their_keys_are_made(spark, monkeypatch):
+    """Equal lines have their keys made once, buckets are counted without a join, and no text is split again to be compared."""
+    line = "a line which is the same in each of the documents but for its number, "
+    docs = spark.createDataFrame([(i, "\n".join(line + str(k % 3) for k in range(5)) + f"\n{i} other") for i in range(20)], "doc_id long, text string")
+    plans, rows, write = {}, {}, Scratch.write
+
+    def noted(self, df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().sparkPlan().toString())
+        out = write(self, df, name)
+        rows.setdefault(name, []).append(out.collect())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", noted)
+    got = linededup.duplicate_lines(spark, docs).collect()
+    assert all("Join" not in p for p in plans["buckets"]) and all("split(" not in p for p in plans["texts"])
+    sizes = collections.Counter(r.band for t in rows["buckets"] for r in t)
+    assert sizes and all(r.n == sizes[r.band] > 1 for t in rows["buckets"] for r in t)
+    assert len(rows["keyed"][0]) == 23 and {r.norm for t in rows["texts"] for r in t} >= {line + str(k) for k in range(3)}
+    gone = brute_lines([tuple(r) for r in docs.collect()])
+    assert {r.doc_id: r.n_removed for r in got} == {d: sum(d == x for x, _ in gone) for d in range(20)}
+
+
 def test_only_first_tokens_of_lines_become_rows(spark, monkeypatch):
     from corpuscle.llm import components
 
