@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm import decontaminate, katz, langid, licences, linededup, neardup, packing, pii, queries, sharding, topk
 from corpuscle.llm.common import Scratch
-from corpuscle.llm.components import link_buckets, star_components, union_find
+from corpuscle.llm.components import link_buckets, ranked_pairs, star_components, union_find
 
 from ..conftest import DATA
 from .conftest import ODD
@@ -637,3 +637,49 @@ def test_only_first_tokens_of_lines_become_rows(spark, monkeypatch):
     kept.clear()
     assert linededup.duplicate_lines(spark, docs).agg(F.sum("n_removed")).first()[0] == 0
     assert "met" in kept and "tokens" not in kept
+
+
+def test_long_pairs_meet_at_one_token(spark, monkeypatch):
+    """Pairs with more shingles than a sketch has cells meet once too, and the sample is made once for each set."""
+    kept, write = {}, Scratch.write
+
+    def noted(self, df, name):
+        kept.setdefault(name, []).append(write(self, df, name))
+        return kept[name][-1]
+
+    monkeypatch.setattr(Scratch, "write", noted)
+    sets = [(i, list(range(610)) + [1000 * i + 1000 + k for k in range(82)]) for i in range(10)] + [(i, list(range(90000, 90700)) + [1000 * i + k for k in range(9)]) for i in (20, 21)]
+    table = spark.createDataFrame(sets, "node long, x array<long>").select("node", F.transform("x", lambda t: F.xxhash64(t)).alias("x"))
+    sketches = linededup.sketches_of(table.toDF("h", "x")).drop("n").withColumnRenamed("h", "node")
+    found = {tuple(r) for r in ranked_pairs(table, None, 0.79, Scratch(spark), sketches).collect()}
+    rows = [r.c for t in kept["met"] for r in t.collect()]
+    assert (20, 21) in found and len(rows) > 20 and sum(rows) < 3 * len(rows)  # one of 64 common first tokens
+    assert {"sample", "end"} <= set(kept["prefixes"][0].columns)
+
+
+def test_open_buckets_are_kept_without_a_join(spark, monkeypatch):
+    """Buckets of one component close, those of several stay whole; later rounds join only the new links."""
+    plans, kept, write = [], {}, Scratch.write
+
+    def noted(self, df, name):
+        if name == "open":
+            plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        kept.setdefault(name, []).append((out := write(self, df, name)).collect())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", noted)
+    buckets = spark.createDataFrame([(1, i) for i in range(40)] + [(2, i) for i in range(100, 140)], "band long, node long")
+    # band 2: two halves, of which its centre links one
+    linked = lambda pairs, name: pairs.where("b < 40 or (b >= 100 and floor(a / 20) = floor(b / 20))")
+    sets = lambda nodes: nodes.select("node", F.lit(1).cast("long").alias("token"), F.lit(1).cast("long").alias("n"))
+    given = []
+
+    def counted(edges, scratch):
+        given.append(edges.count())
+        return union_find(edges, scratch)
+
+    roots = link_buckets(buckets, linked, sets, 0.8, Scratch(spark), counted)
+    assert {(r.node, r.root) for r in roots.collect()} == {(i, 0) for i in range(40)} | {(i, 100 + 20 * (i >= 120)) for i in range(100, 140)}
+    assert sorted((r.band, r.node) for r in kept["open"][1]) == [(2, i) for i in range(100, 140)]
+    assert len(plans) > 1 and all("Join" not in p.split("Window")[0] and "LeftSemi" not in p for p in plans[1:])
+    assert len(given) > 1 and given == [n for n in map(len, kept["links"]) if n]
