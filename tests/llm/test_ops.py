@@ -683,3 +683,15 @@ def test_open_buckets_are_kept_without_a_join(spark, monkeypatch):
     assert sorted((r.band, r.node) for r in kept["open"][1]) == [(2, i) for i in range(100, 140)]
     assert len(plans) > 1 and all("Join" not in p.split("Window")[0] and "LeftSemi" not in p for p in plans[1:])
     assert len(given) > 1 and given == [n for n in map(len, kept["links"]) if n]
+
+
+def test_runs_are_hashed_from_their_elements(spark):
+    """The keys are those of the hashed slices of the circle, without a copy of it for each."""
+    lines = spark.createDataFrame([(" ".join(f"{i * k % 97}word" for k in range(1, n)),) for i, n in enumerate((2, 3, 4, 6, 9, 15, 40, 90), 3)] + [("a",), ("abcdef",), ("aaaaaaaaaaa",)], "norm string")
+    for hashes in (linededup._shingles("norm"), f"slice({linededup._shingles('norm')}, 1, 7)"):
+        now = linededup._runs(hashes)
+        sliced = now
+        for rows in (linededup.ROWS, linededup.FEW_ROWS):
+            sliced = sliced.replace(f"xxhash64({rows}, {', '.join(f'get(w, p + {k})' for k in range(rows))})", f"xxhash64({rows}, slice(w, cast(p as int) + 1, {rows}))")
+        assert sliced != now and "slice(w" not in now
+        assert all(r.a and r.a == r.b for r in lines.select(F.expr(now).alias("a"), F.expr(sliced).alias("b")).collect())
