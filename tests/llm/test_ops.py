@@ -254,6 +254,31 @@ def test_roots_are_looked_up_once_for_each_node_of_large_buckets(spark):
     assert made and max(made) <= nodes, made
 
 
+def test_a_node_meets_a_centre_once_however_many_buckets_they_share(spark, monkeypatch):
+    """Sixty nodes in twelve buckets each: no join by bucket, and of two components that stay apart no more rows than pairs."""
+    nodes, bands = 60, 12
+    buckets = spark.range(nodes * bands).selectExpr(f"id % {bands} as band", f"id div {bands} as node", f"{nodes}L as n").cache()
+    plans, given, write = [], [], Scratch.write
+
+    def noted(self, df, name):
+        if name == "pairs":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, df, name)
+
+    def linked(pairs, name):
+        given.append(sorted(map(tuple, pairs.collect())))
+        return pairs.where("a % 2 = b % 2")
+
+    monkeypatch.setattr(Scratch, "write", noted)
+    sets = lambda of: of.selectExpr("node", "node as token", "1L as n")
+    roots = link_buckets(buckets, linked, sets, 0.8, Scratch(spark))
+    assert {(r.node, r.root) for r in roots.collect()} == {(i, i % 2) for i in range(nodes)}
+    assert given[0] == [(i, nodes - 1) for i in range(nodes - 1)]  # all with the most central one
+    assert given[1] and all(a < b and not a % 2 * b % 2 for a, b in given[1]) and len(given[1]) == len(set(given[1]))  # odd ones are linked
+    of_rounds = [x for p in plans[:-1] for x in re.findall(r"Join Inner, .*", p) if x.count("band#") > 1 and "a#" not in x]
+    assert not of_rounds, of_rounds
+
+
 def test_short_lines_that_are_near_duplicates_share_a_band(spark):
     rng = np.random.default_rng(3)
     pairs = [("1. introduction", "2. introduction")]
